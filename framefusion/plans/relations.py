@@ -8,7 +8,7 @@ from framefusion.operators import evidence as ev
 from framefusion.operators import rules
 from framefusion.plans import fixtures as fx
 from framefusion.plans.registry import (
-    q8, query, r8, rounded, sql_digits, sql_distance, sql_iou, sql_overlap)
+    q6, query, r6, rounded, sql_digits, sql_distance, sql_iou, sql_overlap)
 
 KEY = ("image_id", "candidate_index")
 IOU, OVERLAP, DIST = sql_iou("c", "d"), sql_overlap("c", "d"), sql_distance("c", "d")
@@ -20,10 +20,10 @@ def _detection_sql() -> str:
         is_cls = f"CASE WHEN d.class_id = {cls} THEN"
         out += [
             f"CAST(count({is_cls} 1 END) AS DOUBLE) AS {p}_count",
-            f"{q8(f'coalesce(max({is_cls} d.iou END), 0)')} AS {p}_max_iou",
-            f"{q8(f'coalesce(max({is_cls} d.ov END), 0)')} AS {p}_max_overlap_min",
-            f"{q8(f'coalesce(min({is_cls} d.dist END), 9)')} AS {p}_min_center_dist",
-            f"{q8(f'coalesce(max({is_cls} d.conf END), 0)')} AS {p}_max_conf",
+            f"coalesce(max({is_cls} d.iou END), 0) AS {p}_max_iou",
+            f"coalesce(max({is_cls} d.ov END), 0) AS {p}_max_overlap_min",
+            f"coalesce(min({is_cls} d.dist END), 9) AS {p}_min_center_dist",
+            f"coalesce(max({is_cls} d.conf END), 0) AS {p}_max_conf",
             f"CAST(coalesce(max({is_cls} d.inside END), 0) AS DOUBLE) AS {p}_contains_candidate_center",
         ]
     return ", ".join(out)
@@ -44,11 +44,15 @@ FLAGS = """CAST(yolo_ch0_max_iou > 0.03 OR yolo_ch0_max_overlap_min > 0.20 OR yo
   CAST(yolo_other_text2_max_iou > 0.03 OR yolo_other_text2_max_overlap_min > 0.20 AS DOUBLE) AS overlaps_other_text"""
 
 
-@query("detection_features", f"{FEATURES} SELECT * FROM features")
+DETECTOR_COLUMNS = [f"{p}_{m}" for p in ev.CLASS_PREFIX.values() for m in (
+    "count", "max_iou", "max_overlap_min", "min_center_dist", "max_conf", "contains_candidate_center")]
+
+
+@query("detection_features", f"""{FEATURES} SELECT image_id, candidate_index,
+  {', '.join(f'{q6(c)} AS {c}' for c in DETECTOR_COLUMNS)} FROM features""")
 def detection_features(spark, folder):
     out = ev.detection_features(fx.candidates(spark, folder), fx.detections(spark, folder))
-    names = [c for c in out.columns if c.startswith("yolo_")]
-    return rounded(out.select(*KEY, *names))
+    return rounded(out.select(*KEY, *DETECTOR_COLUMNS))
 
 
 @query("evidence_flags", f"{FEATURES} SELECT image_id, candidate_index, {FLAGS} FROM features")
@@ -87,7 +91,7 @@ ADJUST = """CASE WHEN c.value = '' THEN 0 ELSE
 
 
 @query("same_location_adjustment", f"""{AGREE} SELECT c.image_id, c.candidate_index, a.numeric_support, a.alpha_conflict,
-  {q8(f'CAST({ADJUST} AS DOUBLE)')} AS location_adjustment FROM own c JOIN agree a USING (image_id, candidate_index)""")
+  {q6(f'CAST({ADJUST} AS DOUBLE)')} AS location_adjustment FROM own c JOIN agree a USING (image_id, candidate_index)""")
 def same_location_adjustment(spark, folder):
     out = ev.same_location_adjustment(fx.candidates(spark, folder))
     return rounded(out.select(*KEY, "numeric_support", "alpha_conflict", "location_adjustment"))
@@ -158,7 +162,7 @@ ALIGN = f"""{BOXED}, bonus AS (
   FROM own c LEFT JOIN best USING (image_id, candidate_index) LEFT JOIN worst USING (image_id, candidate_index))"""
 
 
-@query("best_alignment", f"""{ALIGN} SELECT c.image_id, c.candidate_index, {q8('bonus')} AS bonus, {q8('penalty')} AS penalty,
+@query("best_alignment", f"""{ALIGN} SELECT c.image_id, c.candidate_index, {q6('bonus')} AS bonus, {q6('penalty')} AS penalty,
   aligned_detection, snapped, CASE WHEN snapped THEN bx1 ELSE c.x1 END AS snap_x1, CASE WHEN snapped THEN by1 ELSE c.y1 END AS snap_y1,
   CASE WHEN snapped THEN bx2 ELSE c.x2 END AS snap_x2, CASE WHEN snapped THEN by2 ELSE c.y2 END AS snap_y2
   FROM own c JOIN aligned USING (image_id, candidate_index)""")
@@ -188,15 +192,15 @@ SCORED = f"""{ALIGN}, scored AS (
 def scored(spark, folder):
     """Rule score rounded as the ranking rounds it, so that equal scores tie."""
     out = rules.rule_score(fx.candidates(spark, folder), fx.detections(spark, folder))
-    return out.withColumn("rule_score", r8("rule_score"))
+    return out.withColumn("rule_score", r6("rule_score"))
 
 
-@query("rule_score", f"{SCORED} SELECT image_id, candidate_index, digits, {q8('rule_score')} AS rule_score, aligned_detection FROM scored")
+@query("rule_score", f"{SCORED} SELECT image_id, candidate_index, digits, {q6('rule_score')} AS rule_score, aligned_detection FROM scored")
 def rule_score(spark, folder):
     return scored(spark, folder).select(*KEY, "digits", "rule_score", "aligned_detection")
 
 
-RANKED = f"""{SCORED}, ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {q8('rule_score')} DESC, candidate_index) AS rank
+RANKED = f"""{SCORED}, ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {q6('rule_score')} DESC, candidate_index) AS rank
   FROM scored) WHERE rank <= 20)"""
 
 
@@ -212,7 +216,7 @@ PROMOTED = f"""{SCORED}, coarse AS (SELECT *, round(ocr_conf, 1) AS fusion_score
    WHERE length(b.digits) < 3 AND length(c.digits) = 3 AND c.rank > 1 AND c.fusion_score >= b.fusion_score),
  won AS (SELECT c.image_id, min(c.rank) AS promoted FROM tied c
    JOIN (SELECT image_id, x1, y1, x2, y2 FROM ranked WHERE rank = 1) d ON c.image_id = d.image_id
-   WHERE ({q8('c.rule_score')} >= 0.25 AND ({OVERLAP} > 0.55 OR {DIST} < 0.045 OR c.aligned_detection IS NOT NULL))
+   WHERE ({q6('c.rule_score')} >= 0.25 AND ({OVERLAP} > 0.55 OR {DIST} < 0.045 OR c.aligned_detection IS NOT NULL))
       OR (c.source = 'paddleocr_channel_recheck' AND c.aligned_detection IS NOT NULL AND c.ocr_conf >= 0.55) GROUP BY ALL)
  SELECT r.image_id, r.candidate_index, coalesce(r.rank = w.promoted, false) AS promoted,
    CAST(CASE WHEN r.rank = w.promoted THEN 1 WHEN r.rank < w.promoted THEN r.rank + 1 ELSE r.rank END AS INT) AS rank

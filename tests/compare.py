@@ -41,7 +41,9 @@ def rows_of(columns, rows):
 
 def compare(spark, con, fn, sql, folder):
     df = fn(spark, folder)
+    t = time.time()
     names, mine = rows_of(df.columns, df.collect())
+    compare.spent = time.time() - t
     cur = con.execute(sql)
     theirs_cols = [d[0] for d in cur.description]
     names2, theirs = rows_of(theirs_cols, cur.fetchall())
@@ -50,7 +52,7 @@ def compare(spark, con, fn, sql, folder):
     a, b = Counter(mine), Counter(theirs)
     left, right = sorted((a - b).elements()), sorted((b - a).elements())
     if left or right:
-        return f"{len(left)} of {len(mine)} rows differ in {names}\n   spark {left[:3]}\n   check {right[:3]}"
+        return f"{len(left)} of {len(mine)} rows differ in {str(names)[:200]}\n   spark {str(left[:2])[:900]}\n   check {str(right[:2])[:900]}"
     return None if mine else "EMPTY"
 
 
@@ -73,7 +75,7 @@ if __name__ == "__main__":
         try:
             if name in ORACLES:
                 problem = compare(spark, con, QUERIES[name], ORACLES[name], folder)
-                note = "ok"
+                note = f"ok (run {compare.spent:.1f}s)"
             else:
                 n = QUERIES[name](spark, folder).count()
                 problem, note = (None if n else "EMPTY"), f"rows only: {n}"
