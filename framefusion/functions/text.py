@@ -92,6 +92,11 @@ def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def strip(c: Column) -> Column:
+    """Remove white space of every kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def digits(text: Column) -> Column:
     return F.regexp_replace(_blank(text), "[^0-9]", "")
 
@@ -134,7 +139,7 @@ def has_numeric_token(text: Column, value: Column) -> Column:
 def noise_context(source: Column, text: Column, parent_text: Column) -> Column:
     """A refined 3-5 digit token at an edge of a parent with one to four noise characters."""
     value = digits(text)
-    parent = F.trim(_blank(parent_text))
+    parent = strip(_blank(parent_text))
     compact = F.regexp_replace(parent, r"\s+", "")
     noise = F.length(F.regexp_replace(parent, r"[0-9\s:.\-/]", ""))
     return (
@@ -167,7 +172,7 @@ def is_original(source: Column) -> Column:
 
 
 def text_features(text: Column) -> dict[str, Column]:
-    t = F.trim(_blank(text))
+    t = strip(_blank(text))
     length = F.length(t)
     at_least_one = F.greatest(F.lit(1), length)
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
@@ -289,7 +294,7 @@ def classify(text: Column) -> Column:
     t = _blank(text)
     d = digits_any(t)
     solid = F.regexp_replace(t, r"\s", "")
-    rest = F.trim(F.regexp_replace(t, r"\p{Nd}", ""))
+    rest = strip(F.regexp_replace(t, r"\p{Nd}", ""))
     short_label = rest.rlike(r"^[\x00-\x7F]*$") & F.regexp_replace(rest, "[.#]", "").rlike("^[A-Za-z]+$") & (
         F.length(rest) <= 8)
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framefusion.functions import boxes as bx
 from framefusion.functions import text as tx
-from framefusion.operators.relate import ARRAY_LIMIT, Fold, Get, Nearest, NotSelf, PerFrame, relate
+from framefusion.operators.relate import ARRAY_LIMIT, Fold, Get, Nearest, NotSelf, OwnRows, PerFrame, relate
 
 BOX = ["x1", "y1", "x2", "y2"]
 SIZE = ["image_width", "image_height"]
@@ -148,16 +148,17 @@ def rule_evidence(candidates: DataFrame, detections: DataFrame | None, folds: tu
     has_parent = "parent_id" in candidates.columns and "candidate_id" in candidates.columns
     ident = F.col("candidate_id") if has_parent else F.lit(None).cast("string")
     null = lambda kind: F.lit(None).cast(kind)
-    right = own.where("_original").select(
-        "image_id", F.lit("text").alias("kind"), *BOX, *SIZE, F.col("_value").alias("value"),
-        F.col("_plain").alias("plain"), F.col("_alpha").alias("alpha"), F.col("_alpha_only").alias("alpha_only"),
-        null("int").alias("class_id"), null("double").alias("conf"), null("int").alias("detection_index"),
-        ident.alias("other_id"), F.col("candidate_index").alias("row_id"))
+    columns = {
+        "kind": F.lit("text"), "value": F.col("_value"), "plain": F.col("_plain"), "alpha": F.col("_alpha"),
+        "alpha_only": F.col("_alpha_only"), "class_id": null("int"), "conf": null("double"),
+        "detection_index": null("int"), "other_id": ident, "row_id": F.col("candidate_index"),
+    }
+    right = None
     if detections is not None:
-        right = right.unionByName(detections.select(
+        right = detections.select(
             "image_id", F.lit("box").alias("kind"), *BOX, *SIZE, null("string").alias("value"),
             null("boolean").alias("plain"), null("boolean").alias("alpha"), null("boolean").alias("alpha_only"),
-            "class_id", "conf", "detection_index", null("string").alias("other_id"), null("int").alias("row_id")))
+            "class_id", "conf", "detection_index", null("string").alias("other_id"), null("int").alias("row_id"))
     left_parent = (
         F.when(tx.noise_context(F.col("source"), F.col("text"), F.col("_parent_text")), F.col("parent_id"))
         if has_parent else F.lit(None).cast("string"))
@@ -194,7 +195,8 @@ def rule_evidence(candidates: DataFrame, detections: DataFrame | None, folds: tu
     out = relate(
         left, right, on="image_id", derive=derive, folds={k: wanted[k] for k in names}, left_cols=left_cols,
         right_cols=right_cols, reach=0.32 if detections is not None else 0.08,
-        not_self=NotSelf("row_id", lambda l: l("_original")), collapse=DETECTION_COLLAPSE, limit=limit)
+        not_self=NotSelf("row_id", lambda l: l("_original")), collapse=DETECTION_COLLAPSE,
+        own_rows=OwnRows(F.col("_original"), columns), limit=limit)
     return out.drop("value", "plain", "alpha", "alpha_only", "row_id", "_skip_parent", "other_id")
 
 

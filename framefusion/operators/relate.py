@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any, Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framefusion.functions import boxes as bx
@@ -122,10 +122,18 @@ def _all_equal(pairs: Sequence[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a & b, [a.eqNullSafe(b) for a, b in pairs])
 
 
-def relate(left: DataFrame, right: DataFrame, *, on: str, derive: Derive, folds: dict[str, Fold | Nearest | PerFrame],
+@dataclass(frozen=True)
+class OwnRows:
+    """Left rows that also stand on the right: those with `where`, under the right column names."""
+
+    where: Column
+    columns: dict[str, Column]
+
+
+def relate(left: DataFrame, right: DataFrame | None, *, on: str, derive: Derive, folds: dict[str, Fold | Nearest | PerFrame],
            left_cols: Sequence[str], right_cols: Sequence[str], reach: float,
            frame_size: Size = ("image_width", "image_height"), not_self: NotSelf | None = None,
-           collapse: dict[str, Callable[[str], Column]] | None = None,
+           collapse: dict[str, Callable[[str], Column]] | None = None, own_rows: OwnRows | None = None,
            limit: int = ARRAY_LIMIT) -> DataFrame:
     """Left rows with one column per fold.
 
@@ -135,20 +143,43 @@ def relate(left: DataFrame, right: DataFrame, *, on: str, derive: Derive, folds:
     """
     left_cols, right_cols = list(left_cols), list(right_cols)
     carried = right_cols + ([not_self.id] if not_self and not_self.id not in right_cols else [])
-    hot = find_hot(right, [on], limit)
+    everything = _all_right(left, right, on, carried, frame_size, own_rows)
+    hot = find_hot(everything, [on], limit)
+    args = (on, derive, folds, carried, frame_size, not_self, own_rows)
     if hot is None:
-        return _relate_arrays(left, right, on, derive, folds, carried, frame_size, not_self)
+        return _relate_arrays(left, right, *args)
     cold_left, hot_left = split_hot(left, hot, [on])
-    cold_right, hot_right = split_hot(right, hot, [on])
-    cold = _relate_arrays(cold_left, cold_right, on, derive, folds, carried, frame_size, not_self)
+    cold_right = split_hot(right, hot, [on])[0] if right is not None else None
+    hot_right = everything.join(hot, [on], "left_semi")
+    cold = _relate_arrays(cold_left, cold_right, *args)
     hot_out = _relate_tiles(hot_left, hot_right, on, derive, folds, left_cols, right_cols, reach, frame_size, not_self,
                             collapse or {})
     return cold.unionByName(hot_out.select(*cold.columns))
 
 
-def _relate_arrays(left, right, on, derive, folds, carried, frame_size, not_self):
-    near = right.groupBy(on).agg(F.collect_list(F.struct(*carried)).alias("_near"))
-    rows = left.join(near, on, "left")
+def _all_right(left, right, on, carried, frame_size, own_rows) -> DataFrame:
+    sizes = [s for s in frame_size if isinstance(s, str)]
+    names = list(dict.fromkeys([on, *carried, *sizes]))
+    if own_rows is None:
+        return right.select(*names)
+    mine = left.where(own_rows.where).select(
+        on, *[own_rows.columns.get(n, F.col(n)).alias(n) for n in names if n != on])
+    return mine if right is None else mine.unionByName(right.select(*names))
+
+
+def _relate_arrays(left, right, on, derive, folds, carried, frame_size, not_self, own_rows):
+    rows, parts = left, []
+    if own_rows is not None:
+        # The rows of a frame are together already, so its own part of the array needs no join.
+        mine = F.when(own_rows.where, F.struct(*[own_rows.columns.get(c, F.col(c)).alias(c) for c in carried]))
+        rows = rows.withColumn("_mine", F.collect_list(mine).over(Window.partitionBy(on)))
+        parts.append(F.col("_mine"))
+    if right is not None:
+        near = right.groupBy(on).agg(F.collect_list(F.struct(*carried)).alias("_theirs"))
+        rows = rows.join(near, on, "left")
+        kind = near.schema["_theirs"].dataType.simpleString()
+        parts.append(F.coalesce("_theirs", F.array().cast(kind)) if own_rows is not None else F.col("_theirs"))
+    rows = rows.withColumn("_near", F.concat(*parts) if len(parts) > 1 else parts[0])
     own: Get = F.col
     wants_nearest = any(isinstance(f, Nearest) for f in folds.values())
 
