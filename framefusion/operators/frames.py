@@ -57,8 +57,11 @@ def build_sequences(frames: DataFrame, accumulate: bool = True) -> DataFrame:
 
 
 def manifest_sequences(manifest: DataFrame, frames: DataFrame) -> DataFrame:
-    """Manifest order over known frames; unknown ids are dropped, and with them empty sequences."""
-    rows = manifest.select("sequence_id", "group_key", F.posexplode("images").alias("pos", "image_id"))
+    """Manifest order over known frames; unknown ids are dropped, and with them empty sequences. A long sequence may come
+    in several rows, each with the `offset` of its first image."""
+    offset = F.col("offset") if "offset" in manifest.columns else F.lit(0).cast("long")
+    rows = manifest.select("sequence_id", "group_key", offset.alias("_offset"), F.posexplode("images").alias("_pos", "image_id"))
+    rows = rows.select("sequence_id", "group_key", (F.col("_offset") + F.col("_pos")).alias("pos"), "image_id")
     rows = rows.join(frames.select("image_id"), "image_id", "left_semi")
     return rank_within(rows, ["sequence_id"], [F.col("pos")], "frame_index", bucket=[F.floor(F.col("pos") / 1024)]).select(
         "sequence_id", "group_key", "frame_index", "image_id")
