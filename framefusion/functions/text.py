@@ -92,6 +92,11 @@ def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def bind(value: Column, use) -> Column:
+    """Compute a costly expression once and use it several times in the same row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove white space of every kind at both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -171,8 +176,8 @@ def is_original(source: Column) -> Column:
     return ~_blank(source).isin(*DERIVED_SOURCES)
 
 
-def text_features(text: Column) -> dict[str, Column]:
-    t = strip(_blank(text))
+def text_features(text: Column, stripped: bool = False) -> dict[str, Column]:
+    t = text if stripped else strip(_blank(text))
     length = F.length(t)
     at_least_one = F.greatest(F.lit(1), length)
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
@@ -201,10 +206,14 @@ def _compact(value: Column) -> Column:
 
 
 def source_alias(source: Column) -> Column:
-    s = _compact(source)
+    """One of `SOURCE_DETAILS` by ordered keyword rules."""
+    return bind(_compact(source), _alias_of)
+
+
+def _alias_of(s: Column) -> Column:
     has = lambda word: F.contains(s, F.lit(word))
     return (
-        F.when(F.trim(_blank(source)) == "", "unknown")
+        F.when(s == "", "unknown")
         .when(has("slot_proposal_v2") | has("v2_cc_textline"), "slot_proposal_v2_cc_textline")
         .when(has("legacy_slot_repair") | (has("slot") & has("repair")), "legacy_slot_repair")
         .when(has("history_roi_prior") | (has("slot") & (has("history_guided") | has("proposal"))),
@@ -221,7 +230,11 @@ def source_alias(source: Column) -> Column:
 
 
 def broad_region(region: Column) -> Column:
-    s = _compact(region)
+    """One of `BROAD_REGIONS` by ordered keyword rules."""
+    return bind(_compact(region), _region_of)
+
+
+def _region_of(s: Column) -> Column:
     has = lambda word: F.contains(s, F.lit(word))
     return (
         F.when(s == "", "unknown")
@@ -275,9 +288,9 @@ def short_runs(text: Column) -> Column:
 
 def best_digit(text: Column) -> Column:
     """The longest short run, the first one on ties."""
-    runs = short_runs(text)
-    longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
-    return F.coalesce(F.get(F.filter(runs, lambda r: F.length(r) == longest), F.lit(0)), F.lit(""))
+    # Lengths as a leading number, positions as the second: the greatest pair is the longest run, the first on ties.
+    marked = F.transform(short_runs(text), lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("o"), r.alias("run")))
+    return F.coalesce(F.array_max(marked)["run"], F.lit(""))
 
 
 def best_digit_forced(text: Column) -> Column:

@@ -172,42 +172,41 @@ def _xyxy(points: Column) -> Column:
 
 def _points(text: Column) -> Column:
     """Polygon from JSON: a list of points, or four numbers."""
-    poly = F.from_json(text, "array<array<double>>")
-    flat = F.from_json(text, "array<double>")
-    corners = F.array(F.array(flat[0], flat[1]), F.array(flat[2], flat[3]))
-    pairs = F.filter(poly, lambda p: F.size(p) >= 2)
-    return F.when(F.size(pairs) >= 2, pairs).when(F.size(flat) == 4, corners)
+    polygon = tx.bind(F.filter(F.from_json(text, "array<array<double>>"), lambda p: F.size(p) >= 2),
+                      lambda p: F.when(F.size(p) >= 2, p))
+    corners = tx.bind(F.from_json(text, "array<double>"), lambda v: F.when(
+        F.size(v) == 4, F.array(*[F.array(v[i], v[j]) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3))])))
+    return F.coalesce(polygon, corners)
 
 
 def normalize_ocr_output(raw: DataFrame, min_conf: float = 0.0) -> DataFrame:
     """Recogniser output as JSON (`image_id`, `value`) in list form, batch form or single-item form to (box, text, conf).
     Blank texts and low confidence are dropped; numbers count all items."""
     text = F.trim("value")
-    # List form: [[polygon, [text, conf]], …], possibly inside one page.
-    listed = raw.where(F.startswith(text, F.lit("[")))
+    # List form: [[polygon, [text, conf]], …], possibly inside one page. Each level is parsed once, in its own column.
     page = lambda v: F.from_json(v, "array<string>")
-    first = page(page(F.col("value"))[0])
-    paged = (F.size(page(F.col("value"))) == 1) & F.startswith(first[0], F.lit("[["))
-    nested = F.get(page(F.get(first, F.lit(0))), F.lit(0))
-    is_page = paged & F.startswith(nested, F.lit("[["))
-    entries = F.when(is_page, page(page(F.col("value"))[0])).otherwise(page(F.col("value")))
-    items = listed.select("image_id", F.posexplode(entries).alias("_pos", "_e"))
-    pair = page(F.col("_e"))
-    said = page(pair[1])
-    from_list = items.where(F.startswith("_e", F.lit("["))).select(
-        "image_id", "_pos", _points(pair[0]).alias("points"), said[0].alias("text"), said[1].try_cast("double").alias("conf"))
+    listed = raw.where(F.startswith(text, F.lit("["))).withColumn("_top", page(F.col("value")))
+    listed = listed.withColumn("_first", page(F.get("_top", F.lit(0))))
+    head = F.get("_first", F.lit(0))
+    is_page = (F.size("_top") == 1) & F.startswith(head, F.lit("[[["))
+    items = listed.select("image_id", F.posexplode(F.when(F.coalesce(is_page, F.lit(False)), F.col("_first")).otherwise(F.col("_top"))).alias("_pos", "_e"))
+    pairs = items.where(F.startswith("_e", F.lit("["))).withColumn("_pair", page(F.col("_e"))).withColumn("_said", page(F.get("_pair", F.lit(1))))
+    from_list = pairs.select(
+        "image_id", "_pos", _points(F.get("_pair", F.lit(0))).alias("points"), F.get("_said", F.lit(0)).alias("text"),
+        F.get("_said", F.lit(1)).try_cast("double").alias("conf"))
     # Mapping forms, alone or as list entries.
     maps = raw.where(F.startswith(text, F.lit("{"))).select("image_id", F.lit(0).alias("_pos"), F.col("value").alias("_m")).unionByName(
         items.where(F.startswith("_e", F.lit("{"))).select("image_id", "_pos", F.col("_e").alias("_m")))
-    keys = F.from_json("_m", "map<string,string>")
-    pick = lambda *names: F.coalesce(*[keys[n] for n in names])
-    texts, scores = pick("rec_texts", "texts"), pick("rec_scores", "scores")
-    polys = pick("rec_polys", "dt_polys", "boxes", "polys")
-    batched = maps.where(texts.isNotNull() & polys.isNotNull()).select(
-        "image_id", "_pos", F.posexplode(F.arrays_zip(page(texts).alias("t"), page(polys).alias("p"), page(scores).alias("s"))).alias("_i", "z"))
+    maps = maps.withColumn("_k", F.from_json("_m", "map<string,string>"))
+    pick = lambda *names: F.coalesce(*[F.col("_k")[n] for n in names])
+    maps = maps.select("image_id", "_pos", "_k", pick("rec_texts", "texts").alias("_t"), pick("rec_scores", "scores").alias("_s"),
+                       pick("rec_polys", "dt_polys", "boxes", "polys").alias("_p"))
+    many = F.col("_t").isNotNull() & F.col("_p").isNotNull()
+    batched = maps.where(many).select("image_id", "_pos", F.posexplode(F.arrays_zip(
+        page(F.col("_t")).alias("t"), page(F.col("_p")).alias("p"), page(F.col("_s")).alias("s"))).alias("_i", "z"))
     from_batch = batched.select("image_id", (F.col("_pos") * 100_000 + F.col("_i")).alias("_pos"), _points(F.col("z.p")).alias("points"),
                                 F.col("z.t").alias("text"), F.coalesce(F.col("z.s").try_cast("double"), F.lit(1.0)).alias("conf"))
-    single = maps.where(~(texts.isNotNull() & polys.isNotNull())).select(
+    single = maps.where(~many).select(
         "image_id", "_pos", _points(pick("points", "bbox", "box")).alias("points"), pick("text", "rec_text").alias("text"),
         F.coalesce(pick("confidence", "score", "rec_score").try_cast("double"), F.lit(1.0)).alias("conf"))
     rows = from_list.unionByName(from_batch).unionByName(single.where("text IS NOT NULL")).where("points IS NOT NULL")
@@ -219,16 +218,21 @@ def normalize_ocr_output(raw: DataFrame, min_conf: float = 0.0) -> DataFrame:
 
 def parse_bbox(record: Column) -> Column:
     """Box of a JSON record under bbox_xyxy, bbox, box, xyxy or full_bbox: a list, a string of numbers, corner or edge names."""
-    keys = F.from_json(record, "map<string,string>")
-    raw = F.coalesce(*[keys[k] for k in ("bbox_xyxy", "bbox", "box", "xyxy", "full_bbox")])
-    edges = F.from_json(raw, "struct<x1:double,y1:double,x2:double,y2:double,left:double,top:double,right:double,bottom:double>")
-    cut = F.transform(F.split(F.regexp_replace(raw, r"[\[\]\"]", " "), r"[,;\s]+"), lambda s: s.try_cast("double"))
-    listed = F.filter(cut, lambda v: v.isNotNull())
-    corner = lambda a, b: F.coalesce(edges[a], edges[b])
-    made = F.array(corner("x1", "left"), corner("y1", "top"), corner("x2", "right"), corner("y2", "bottom"))
-    values = F.when(F.startswith(F.trim(raw), F.lit("{")), made).when(F.size(listed) >= 4, F.slice(listed, 1, 4))
-    complete = F.forall(values, lambda v: v.isNotNull())
-    return F.when(complete, F.struct(*[values[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]))
+    names = ("bbox_xyxy", "bbox", "box", "xyxy", "full_bbox")
+
+    def from_text(raw: Column) -> Column:
+        cut = F.transform(F.split(F.regexp_replace(raw, r"[\[\]\"]", " "), r"[,;\s]+"), lambda s: s.try_cast("double"))
+        return tx.bind(F.filter(cut, lambda v: v.isNotNull()), lambda v: F.when(F.size(v) >= 4, F.slice(v, 1, 4)))
+
+    def from_names(raw: Column) -> Column:
+        kind = "struct<x1:double,y1:double,x2:double,y2:double,left:double,top:double,right:double,bottom:double>"
+        corner = lambda e: F.array(*[F.coalesce(e[a], e[b]) for a, b in (("x1", "left"), ("y1", "top"), ("x2", "right"), ("y2", "bottom"))])
+        return tx.bind(F.from_json(raw, kind), corner)
+
+    raw = tx.bind(F.from_json(record, "map<string,string>"), lambda m: F.coalesce(*[m[k] for k in names]))
+    values = tx.bind(raw, lambda r: F.when(F.startswith(F.trim(r), F.lit("{")), from_names(r)).otherwise(from_text(r)))
+    box = lambda v: F.struct(*[v[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+    return tx.bind(values, lambda v: F.when(F.forall(v, lambda x: x.isNotNull()), box(v)))
 
 
 MANIFEST = T.StructType([T.StructField("sequence_id", T.StringType()), T.StructField("group_key", T.StringType()),
