@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -36,3 +38,21 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint a result that several later steps read, so that a scan runs once and a lost executor costs little.
+
+    The folder is the session's checkpoint folder or the one named by `spark.checkpoint.dir`. A local session without
+    either gets a temporary folder; on a cluster without either the plan is returned as it is.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = checkpoint_dir(spark)
+        if folder is None and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="spark-")
+        if folder is None:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
