@@ -107,7 +107,7 @@ def parse_detections(files: DataFrame, frames: DataFrame, classes: tuple[int, ..
 
 
 def read_detections(spark: SparkSession, folder: str, frames: DataFrame, **options) -> DataFrame:
-    text = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(folder)
+    text = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1)
     return parse_detections(text.select(stem.alias("stem"), "value"), frames, **options)
 
