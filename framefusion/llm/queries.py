@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framefusion.llm import html_text
+from framefusion.llm import chat, html_text, mixing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,74 @@ def query(name: str, sql: str | None = None) -> Callable:
 @query("op10_html_text")
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, folder, "pages"), ["page_id", "url"])
+
+
+@query("op9_personal_data")
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, folder, "documents"), "doc_id")
+
+
+CLASHING = "\\### Assistant: </turn> ok"
+
+
+def _sql_escaped(text: str) -> str:
+    for plain in ("\\", "### ", "</turn>", ": "):
+        text = f"replace({text}, '{plain}', '\\{plain}')"
+    return text
+
+
+@query("op2_chat_format", f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CLASHING}' UNION ALL SELECT -7, 1, 'assistant', '{CLASHING}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_sql_escaped('role')}) + length({_sql_escaped('text')}) + {len('### : </turn>') + 1}) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id""")
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", CLASHING), (-7, 1, "assistant", CLASHING)], rows.schema))
+    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    turns = chat.canonical_turns(records, ["conv_id", "turn"], "record")
+    return chat.digests(chat.format_turns(turns), "conv_id", [F.col("turn"), F.col("role"), F.col("text")])
+
+
+_FILL = """, g{i} AS (SELECT g.sk, g.gap - coalesce(p.words, 0) AS gap, coalesce(p.words, g.words) AS words, coalesce(p.pos, g.pos) AS pos
+  FROM g{j} g LEFT JOIN (SELECT sk, words, pos FROM (SELECT r.sk, r.words, r.pos,
+      row_number() OVER (PARTITION BY r.sk ORDER BY r.words DESC, r.pos DESC) AS k
+    FROM ranked r JOIN g{j} x ON r.sk = x.sk
+    WHERE r.upto > r.rest AND r.rest > 0 AND r.words <= x.gap AND r.words > 0
+      AND (x.words IS NULL OR r.words < x.words OR (r.words = x.words AND r.pos < x.pos))) WHERE k = 1) p ON g.sk = p.sk)
+, t{i} AS (SELECT a.sk, b.pos FROM g{j} a JOIN g{i} b ON a.sk = b.sk WHERE b.pos IS DISTINCT FROM a.pos)"""
+
+
+@query("op4_mix", rf"""
+WITH sized AS (
+  SELECT doc_id, source, size, count(*) AS multiplicity, size * count(*) AS words, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash,
+    coalesce('s' || source, 'n') AS sk
+  FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents)
+  GROUP BY doc_id, source, size)
+, sources AS (SELECT source, sk, CAST(sum(words) AS BIGINT) AS source_size FROM sized GROUP BY source, sk)
+, weighed AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sources)
+, levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(source_size * 3.0::DOUBLE) OVER (
+      ORDER BY source_size * 3.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / sum(weight) OVER (ORDER BY source_size * 3.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed)
+, targets AS (SELECT *, least(source_size * 3.0::DOUBLE, max(level) OVER () * weight) AS target FROM levels)
+, rated AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size + 1e-9) AS BIGINT)) ELSE 0 END AS base FROM targets)
+, plan AS (SELECT *, CASE WHEN base < 3 THEN greatest(0, CAST(round(target) AS BIGINT) - base * source_size) ELSE 0 END AS rest FROM rated)
+, ranked AS (SELECT s.*, p.source_size, p.target, p.base, p.rest,
+    row_number() OVER w AS pos, CAST(sum(words) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+  FROM sized s JOIN plan p ON s.sk = p.sk WINDOW w AS (PARTITION BY s.sk ORDER BY s.hash, s.doc_id NULLS FIRST, s.size))
+, g0 AS (SELECT sk, CAST(max(rest) - sum(CASE WHEN upto <= rest THEN words ELSE 0 END) AS BIGINT) AS gap,
+    CAST(NULL AS BIGINT) AS words, CAST(NULL AS BIGINT) AS pos FROM ranked GROUP BY sk)
+{''.join(_FILL.format(i=i + 1, j=i) for i in range(4))}
+, picked AS ({' UNION '.join(f'SELECT * FROM t{i + 1}' for i in range(4))})
+, copied AS (SELECT r.*, least(3, r.base + CASE WHEN r.upto <= r.rest OR k.pos IS NOT NULL THEN 1 ELSE 0 END) AS copies
+  FROM ranked r LEFT JOIN picked k ON r.sk = k.sk AND r.pos = k.pos)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
+FROM (SELECT *, unnest(range(multiplicity)) AS again FROM copied)""")
+def op4_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).drop("rate", "copies")
