@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framefusion.llm import chat, decontamination, html_text, mixing, pii
+from framefusion.llm import chat, decontamination, html_text, mixing, near_dup, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,8 @@ def op4_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("text_hash")
+
+
+@query("op8_near_duplicates")
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
