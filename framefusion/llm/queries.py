@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framefusion.llm import chat, decontamination, html_text, mixing, near_dup, pii, quality
+from framefusion.llm import (chat, decontamination, html_text, licenses, mixing, near_dup, neighbours, pii, quality,
+                             toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +118,21 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_quality")
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.importance_sample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~held)
+    scored = toxicity.toxicity(table(spark, folder, "documents"), labels)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op1_neighbours")
+def op1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+@query("op6_licenses")
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))

@@ -1,11 +1,11 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a hashed character n-gram (2 to 6 code points, lower case, white space folded). Its scale is the log ratio
+A feature is the presence of a hashed character n-gram (3 to 6 code points, lower case, white space folded). Its scale is the log ratio
 of its smoothed document shares among toxic and other labelled documents. The `FEATURES` n-grams of largest scale and enough documents
 enter a regularised logistic regression (MLlib) on the scaled features; the weights times the scales score every text.
 
-Bounds: ratios and regression are fitted on at most `TRAIN_ROWS` labelled documents, all toxic ones first and then the others by hash; the
-regression has `FEATURES` weights. Scores read every whole text.
+Bounds: ratios and regression are fitted on at most `TRAIN_ROWS` labelled documents, a third of them toxic at most; the intercept is then
+moved to the shares of all labels. The regression has `FEATURES` weights. Scores read every whole text.
 
 Defined results: null and empty texts get the score of a text without features; without labels of both kinds every score is the share of
 toxic labels (0 without labels); repeated rows get equal scores; an empty table gives an empty result. Only the text enters a score.
@@ -67,9 +67,11 @@ def distinct(cells: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def train_keys(labels: DataFrame, key: str, label: str, limit: int) -> DataFrame:
-    """At most `limit` labelled keys with their label, toxic ones first, then by hash."""
+    """At most `limit` labelled keys with their label: of either kind those of smallest hash, a third of them toxic at most."""
     each = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
-    return each.orderBy(F.col("_label").desc(), F.xxhash64("_key"), "_key").limit(limit)
+    kinds = [each.where(F.col("_label") == value).orderBy(F.xxhash64("_key"), "_key").limit(most)
+             for value, most in ((1, limit // 3), (0, limit - limit // 3))]
+    return kinds[0].unionByName(kinds[1])
 
 
 class Model:
@@ -146,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, tra
         fitted = LogisticRegression(regParam=0.002, standardization=False, maxIter=100, tol=1e-6).fit(data)
     finally:
         data.unpersist()
-    return Model(cells, fitted.coefficients.toArray() * ratios, float(fitted.intercept))
+    share = labels.where(F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    moved = math.log(share / (1 - share)) - math.log(positive / negative) if 0 < share < 1 else 0.0
+    return Model(cells, fitted.coefficients.toArray() * ratios, float(fitted.intercept) + moved)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", cut: float = 0.3,
