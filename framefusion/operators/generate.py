@@ -287,7 +287,7 @@ def consensus_values(value: Column) -> Column:
 
 def keep_best_hit(hits: DataFrame, keys: Sequence[str], by_source: bool = False, combined: bool = False) -> DataFrame:
     """The most confident hit per value and rounded box (and source). `combined` adds .72 conf + .28 proposal score."""
-    spot = [F.round(F.col(c)).cast("int").alias(f"k_{c}") for c in ("x1", "y1", "x2", "y2")]
+    spot = [F.bround(F.col(c)).cast("int").alias(f"k_{c}") for c in ("x1", "y1", "x2", "y2")]
     group = [*keys, "text", *[f"k_{c}" for c in ("x1", "y1", "x2", "y2")], *(["source"] if by_source else [])]
     out = best_row(hits.select("*", *spot), group, [F.col("ocr_conf"), -F.col("hit_index")])
     if combined:

@@ -184,7 +184,7 @@ def pair_differences(rows: DataFrame, features: Sequence[str], mean: Sequence[fl
 
 def _fit(df: DataFrame, l2: float, intercept: bool, weight: str | None = None):
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=l2, elasticNetParam=0.0,
-                            standardization=False, fitIntercept=intercept, maxIter=500, tol=1e-9)
+                            standardization=False, fitIntercept=intercept, maxIter=500, tol=1e-7)
     if weight:
         lr.setWeightCol(weight)
     return lr.fit(df)
@@ -218,7 +218,7 @@ def provider_oof(rows: DataFrame, features: Sequence[str], l2: float, providers:
     """Each provider's rows scored by a model trained on the others. The provider list is short; one fit each, and
     all scores are one expression, so the rows are read once for scoring."""
     if providers is None:
-        providers = sorted(r[0] for r in rows.select("provider").distinct().limit(1000).collect())
+        providers = sorted(r[0] for r in rows.select("provider").where("provider IS NOT NULL").distinct().collect())
     score: Column = F.lit(None).cast("double")
     for provider in providers:
         model = train_pointwise(rows.where(F.col("provider") != provider), features, l2, label)
@@ -226,14 +226,14 @@ def provider_oof(rows: DataFrame, features: Sequence[str], l2: float, providers:
     return rows.withColumn("oof_score", score)
 
 
-def infer_features(rows: DataFrame, sample: int = 200) -> list[str]:
-    """Columns outside the metadata list whose first values all read as numbers."""
+def infer_features(rows: DataFrame) -> list[str]:
+    """Columns outside the metadata list whose values all read as numbers: one aggregate over the whole table."""
     kinds = dict(rows.dtypes)
     names = [c for c in rows.columns if c not in METADATA_COLUMNS]
     numeric = [c for c in names if kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint")]
     strings = [c for c in names if kinds[c] == "string"]
     if strings:
-        checks = rows.select(*strings).limit(sample).agg(*[
+        checks = rows.select(*strings).agg(*[
             F.count_if(F.col(c).try_cast("double").isNull()).alias(c) for c in strings]).collect()[0]
         numeric += [c for c in strings if checks[c] == 0]
     return [c for c in names if c in numeric]

@@ -28,15 +28,15 @@ def texts(spark, folder):
 
 
 @query("digit_rules", f"""WITH t AS ({TEXTS}) SELECT kind, id, part, length({sql_digits('text')}) AS n_digits,
-  substr({sql_digits('text')}, 1, 40) AS head, length(regexp_replace(text, '[^\\p{{Nd}}]', '', 'g')) AS n_any,
-  {sql_strip(f"substr({sql_digits('text')}, 1, 30)")} AS equiv, regexp_matches(text, '\\p{{L}}') AS has_alpha,
+  md5({sql_digits('text')}) AS head, length(regexp_replace(text, '[^\\p{{Nd}}]', '', 'g')) AS n_any,
+  md5({sql_strip(sql_digits('text'))}) AS equiv, regexp_matches(text, '\\p{{L}}') AS has_alpha,
   regexp_matches(text, '^\\s*[0-9]{{1,5}}\\s*$') AS plain FROM t""", fixture=False)
 def digit_rules(spark, folder):
     c = F.col("text")
     return texts(spark, folder).select(
         "kind", "id", "part", F.length(tx.digits(c)).cast("long").alias("n_digits"),
-        F.substring(tx.digits(c), 1, 40).alias("head"), F.length(tx.digits_any(c)).cast("long").alias("n_any"),
-        tx.strip_zeros(F.substring(tx.digits(c), 1, 30)).alias("equiv"), tx.has_alpha(c).alias("has_alpha"),
+        F.md5(tx.digits(c)).alias("head"), F.length(tx.digits_any(c)).cast("long").alias("n_any"),
+        F.md5(tx.strip_zeros(tx.digits(c))).alias("equiv"), tx.has_alpha(c).alias("has_alpha"),
         tx.is_plain_numeric(c).alias("plain"))
 
 

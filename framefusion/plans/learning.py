@@ -110,8 +110,8 @@ def embedding_scorer(spark, folder):
     """A pointwise model over embedding dimensions: label above the median class, one 'frame' per ten vectors."""
     rows = fx.table(spark, folder, "embeddings").select(
         (F.col("vec_id") % 50).alias("image_id"), F.col("vec_id").alias("candidate_index"), (F.col("label") % 2).cast("int").alias("label_train"),
-        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    model = learn.train_pointwise(rows, [f"e{i}" for i in range(8)], 0.01)
+        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    model = learn.train_pointwise(rows, [f"e{i}" for i in range(64)], 0.01)
     return rows.select("image_id", "candidate_index", linear_score(rows, model).alias("score"))
 
 

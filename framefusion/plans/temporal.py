@@ -253,10 +253,10 @@ def resolve_per_frame(spark, folder):
  un AS (SELECT sequence_id, min(x1) AS u1, min(y1) AS u2, max(x2) AS u3, max(y2) AS u4 FROM nr GROUP BY 1),
  en AS (SELECT sequence_id, least(70, coalesce(u1, 70)) AS e1, least(560, coalesce(u2, 560)) AS e2, greatest(130, coalesce(u3, 130)) AS e3, greatest(590, coalesce(u4, 590)) AS e4 FROM (SELECT DISTINCT sequence_id FROM frames) LEFT JOIN un USING (sequence_id))
  SELECT f.image_id, nr.image_id IS NOT NULL AS tracked, {q6('coalesce(nr.x1, e1 - (e3 - e1) * 0.15)')} AS x1, {q6('coalesce(nr.y2, e4 + (e4 - e2) * 0.30)')} AS y2
- FROM (SELECT DISTINCT image_id, sequence_id FROM rd) f JOIN en USING (sequence_id) LEFT JOIN nr ON f.image_id = nr.image_id""")
+ FROM (SELECT DISTINCT image_id, sequence_id FROM frames) f JOIN en USING (sequence_id) LEFT JOIN nr ON f.image_id = nr.image_id""")
 def moving_envelope(spark, folder):
     fields = _sizes(spark, folder).select("sequence_id", *[F.lit(v).alias(k) for k, v in (("f_x1", 70.0), ("f_y1", 560.0), ("f_x2", 130.0), ("f_y2", 590.0))])
-    return rounded(sl.moving_envelope(readings(spark, folder), fields).select("image_id", "tracked", "x1", "y2"))
+    return rounded(sl.moving_envelope(readings(spark, folder), fields, fx.frames(spark, folder)).select("image_id", "tracked", "x1", "y2"))
 
 
 @query("reread_gain", f"""{READ}, b AS (SELECT image_id, arg_max(value, (conf, -candidate_index)) AS v, max(conf) AS c FROM ch WHERE candidate_index <= 2 GROUP BY 1),

@@ -204,7 +204,7 @@ def normalize_ocr_output(raw: DataFrame, min_conf: float = 0.0) -> DataFrame:
     many = F.col("_t").isNotNull() & F.col("_p").isNotNull()
     batched = maps.where(many).select("image_id", "_pos", F.posexplode(F.arrays_zip(
         page(F.col("_t")).alias("t"), page(F.col("_p")).alias("p"), page(F.col("_s")).alias("s"))).alias("_i", "z"))
-    from_batch = batched.select("image_id", (F.col("_pos") * 100_000 + F.col("_i")).alias("_pos"), _points(F.col("z.p")).alias("points"),
+    from_batch = batched.select("image_id", (F.shiftleft(F.col("_pos").cast("long"), 31) + F.col("_i")).alias("_pos"), _points(F.col("z.p")).alias("points"),
                                 F.col("z.t").alias("text"), F.coalesce(F.col("z.s").try_cast("double"), F.lit(1.0)).alias("conf"))
     single = maps.where(~many).select(
         "image_id", "_pos", _points(pick("points", "bbox", "box")).alias("points"), pick("text", "rec_text").alias("text"),
