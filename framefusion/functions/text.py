@@ -438,3 +438,9 @@ def elongated_penalty(source: Column, text: Column, width: Column, height: Colum
     count = F.length(digits(text))
     ratio = F.greatest(F.lit(1.0), width) / F.greatest(F.lit(1), count) / F.greatest(F.lit(1.0), height)
     return F.when((_blank(source) == "") & is_plain_numeric(text) & count.between(1, 5) & (ratio > 1.5), 1.0).otherwise(0.0)
+
+
+def sureness(conf: Column | str) -> Column:
+    """A reading's confidence; one that is missing or 0 counts as 0.5."""
+    value = F.col(conf) if isinstance(conf, str) else conf
+    return F.coalesce(F.nullif(value, F.lit(0.0)), F.lit(0.5))

@@ -136,14 +136,15 @@ def match_counts(matched: DataFrame, truth: DataFrame, frames: DataFrame) -> Dat
         (F.coalesce("truth_boxes", F.lit(0)) - F.coalesce("tp", F.lit(0))).cast("long").alias("fn"))
 
 
-PIECES = 1000
+FRAMES = 256
 
 
 def pr_curve(matched: DataFrame, total_truth: int) -> DataFrame:
     """Cumulative precision and recall by falling confidence per threshold, with the precision reachable from each point
-    on. Both running values are taken piece by piece of confidence, so no single task sees the whole order."""
+    on. Both running values are taken piece by piece of confidence and, among equal ones, of frames, so no single task sees the whole
+    order, not even where all confidences are the same."""
     c = F.col
-    piece = F.struct(c("threshold"), F.floor((1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("conf")))) * PIECES).alias("p"))
+    piece = F.struct(c("threshold"), (-c("conf")).alias("p"), F.floor(c("image_id") / FRAMES).alias("f"))
     order = [F.desc("conf"), F.asc("image_id"), F.asc("detection_index")]
     rows = matched.withColumn("_piece", piece)
     totals = rows.groupBy("threshold", "_piece").agg(F.sum("tp").alias("t"), F.count(F.lit(1)).alias("n"))

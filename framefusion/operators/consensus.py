@@ -15,7 +15,7 @@ def consensus_weight() -> Column:
     n = F.length("_value")
     by_source = F.when(c("source") == "temporal_slot_recheck", 0.35).when(c("source") == "paddleocr_channel_recheck", 0.15).otherwise(0.0)
     by_length = F.when(n.between(2, 3), 0.25).when(n == 1, -0.20).otherwise(-0.05)
-    conf = F.when(F.coalesce("conf", F.lit(0.0)) == 0, 0.5).otherwise(c("conf"))
+    conf = tx.sureness("conf")
     return F.greatest(F.lit(0.05), F.lit(1.0) + conf + F.coalesce("score", F.lit(0.0)) * 0.25 + by_source + by_length)
 
 

@@ -73,7 +73,7 @@ def refine_numeric(candidates: DataFrame) -> DataFrame:
 def split_mixed(candidates: DataFrame, min_conf: float = 0.3) -> DataFrame:
     """Digit runs of one to five digits with purity, prefix flag and box; clock and date texts are dropped."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = candidates.where(~tx.is_time_or_date(text) & (F.coalesce("ocr_conf", F.lit(0.5)) >= min_conf))
+    rows = candidates.where(~tx.is_time_or_date(text) & (tx.sureness("ocr_conf") >= min_conf))
     rows = rows.withColumn("_text", text).select("*", F.posexplode(located_runs(F.col("_text"), r"([0-9]+)")).alias("_pos", "_run"))
     length = F.length("_run.raw")
     alnum = F.length(F.regexp_replace("_text", "[^0-9A-Za-z]", ""))
@@ -87,7 +87,7 @@ def split_mixed(candidates: DataFrame, min_conf: float = 0.3) -> DataFrame:
         "image_id", "candidate_index", F.col("_pos").alias("part"), F.col("_run.raw").alias("raw"),
         tx.canonical(F.col("_run.raw")).alias("value"), x1.alias("x1"), "y1", x2.alias("x2"), "y2",
         ((x1 + x2) / 2 / F.col("image_width")).alias("cx"), ((F.col("y1") + F.col("y2")) / 2 / F.col("image_height")).alias("cy"),
-        ((F.col("y2") - F.col("y1")) / F.col("image_height")).alias("h"), F.coalesce("ocr_conf", F.lit(0.5)).alias("conf"),
+        ((F.col("y2") - F.col("y1")) / F.col("image_height")).alias("h"), tx.sureness("ocr_conf").alias("conf"),
         cut.alias("had_text"), prefix.alias("had_prefix"),
         F.when(prefix, 1.0).otherwise(length / F.greatest(F.lit(1), alnum)).alias("purity"))
 

@@ -36,7 +36,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
             data = [batch[n].tolist() for n in names]
             for values in zip(*data):
                 row = dict(zip(names, values))
-                key = tuple(row[k] for k in keys)
+                # A null key arrives as NaN or None, depending on its type; nulls are one key.
+                key = tuple(None if row[k] != row[k] else row[k] for k in keys)
                 if key != current:
                     if state is not None:
                         out.extend(state.finish())

@@ -27,10 +27,10 @@ def refine_numeric(spark, folder):
 
 
 SPLIT = f""", m AS (SELECT *, {sql_digits('text')} AS d, {START} AS s, length(text) AS n, x2 - x1 AS w, starts_with(text, 'CH ') AS prefix FROM candidates
-   WHERE len({sql_runs('text')}) = 1 AND ocr_conf >= 0.3 AND NOT regexp_matches(text, '[0-9]{{1,2}}\\s*:\\s*[0-9]{{2}}|[0-9]{{1,4}}\\s*[/.\\-]\\s*[0-9]{{1,2}}')),
+   WHERE len({sql_runs('text')}) = 1 AND coalesce(nullif(ocr_conf, 0), 0.5) >= 0.3 AND NOT regexp_matches(text, '[0-9]{{1,2}}\\s*:\\s*[0-9]{{2}}|[0-9]{{1,4}}\\s*[/.\\-]\\s*[0-9]{{1,2}}')),
  cut AS (SELECT *, regexp_replace(text, '[0-9\\s]', '', 'g') <> '' AND NOT prefix AS had_text FROM m),
  split AS (SELECT image_id, candidate_index, d AS raw, {sql_strip('d')} AS value, CASE WHEN had_text THEN x1 + w * (s / n) ELSE x1 END AS bx1,
-   CASE WHEN had_text THEN x1 + w * ((s + length(d)) / n) ELSE x2 END AS bx2, y1, y2, ocr_conf AS conf, had_text, prefix AS had_prefix,
+   CASE WHEN had_text THEN x1 + w * ((s + length(d)) / n) ELSE x2 END AS bx2, y1, y2, coalesce(nullif(ocr_conf, 0), 0.5) AS conf, had_text, prefix AS had_prefix,
    CASE WHEN prefix THEN 1.0 ELSE length(d) / greatest(1, length(regexp_replace(text, '[^0-9A-Za-z]', '', 'g'))) END::DOUBLE AS purity FROM cut)"""
 
 

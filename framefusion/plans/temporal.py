@@ -31,7 +31,7 @@ def slotted(spark, folder):
 
 
 READ = f""", rd AS (SELECT f.sequence_id, f.frame_index, c.image_id, c.candidate_index, c.text, {sql_class('c.text')} AS kind, {sql_strip(sql_best_digit('c.text'))} AS value,
-   {sql_digits('c.text')} <> '' AS has_digit, c.ocr_conf AS conf, (c.x1 + c.x2) / 2 / 1280 AS cx, (c.y1 + c.y2) / 2 / 720 AS cy, (c.y2 - c.y1) / 720 AS h, c.x1, c.y1, c.x2, c.y2
+   {sql_digits('c.text')} <> '' AS has_digit, coalesce(nullif(c.ocr_conf, 0), 0.5) AS conf, (c.x1 + c.x2) / 2 / 1280 AS cx, (c.y1 + c.y2) / 2 / 720 AS cy, (c.y2 - c.y1) / 720 AS h, c.x1, c.y1, c.x2, c.y2
    FROM candidates c JOIN frames f USING (image_id)),
  sl AS (SELECT *, CAST(floor((x1 - 64) / 300) AS INT) AS slot FROM rd WHERE has_digit AND conf >= 0.3),
  ch AS (SELECT * FROM rd WHERE kind = 'channelnum' AND value <> '' AND conf >= 0.3)"""
@@ -126,8 +126,8 @@ METRICS = f"""{READ}, nf AS (SELECT sequence_id, count(*) AS n_frames FROM frame
    min(frame_index * 1000 + candidate_index) AS ff FROM sl GROUP BY ALL),
  sc AS (SELECT *, greatest(1.0, a3 - a1) / greatest(1.0, a4 - a2) AS aspect, greatest(1.0, a3 - a1) * greatest(1.0, a4 - a2) / (1280 * 720) AS area, greatest(1.0, a4 - a2) AS hp,
    (a1 + a3) / 2 / 1280 AS mcx, (a2 + a4) / 2 / 720 AS mcy FROM m JOIN nf USING (sequence_id)),
- met AS (SELECT *, chan_ratio * present / n_frames * CASE WHEN "distinct" >= 2 THEN 1 + 0.15 * "distinct" ELSE 0.1 END * CASE WHEN time_ratio > 0.4 OR text_ratio > 0.5 THEN 0 ELSE 1 END
-   * CASE WHEN aspect BETWEEN 0.25 AND 6 THEN 1 ELSE 0.15 END * CASE WHEN area > 0.06 THEN 0.15 ELSE 1 END * CASE WHEN pos_std > 0.03 THEN 0.5 ELSE 1 END * CASE WHEN h_cv > 0.35 THEN 0.6 ELSE 1 END AS score FROM sc)"""
+ met AS (SELECT *, round_even(1000 * (chan_ratio * (present / n_frames) * CASE WHEN "distinct" >= 2 THEN 1.0::DOUBLE + "distinct" * 0.15::DOUBLE ELSE 0.1::DOUBLE END * CASE WHEN time_ratio > 0.4 OR text_ratio > 0.5 THEN 0 ELSE 1 END
+   * CASE WHEN aspect BETWEEN 0.25 AND 6 THEN 1 ELSE 0.15 END * CASE WHEN area > 0.06 THEN 0.15 ELSE 1 END * CASE WHEN pos_std > 0.03 THEN 0.5 ELSE 1 END * CASE WHEN h_cv > 0.35 THEN 0.6 ELSE 1 END), 0) / 1000 AS score FROM sc)"""
 
 
 def _sizes(spark, folder):
@@ -149,7 +149,7 @@ def label_slots(spark, folder):
 
 @query("list_penalty", f"""{METRICS}, pen AS (SELECT a.*, EXISTS (SELECT 1 FROM met b WHERE a.sequence_id = b.sequence_id AND a.slot <> b.slot AND abs(a.mcx - b.mcx) < 0.03
     AND abs(a.hp - b.hp) / greatest(1.0, a.hp) < 0.3 AND abs(a.mcy - b.mcy) > 0.02 AND abs(a.mcy - b.mcy) < 0.18) AS vertical_neighbor FROM met a)
- SELECT sequence_id, slot, vertical_neighbor, {q6('CASE WHEN vertical_neighbor THEN score * 0.6 ELSE score END')} AS score FROM pen""")
+ SELECT sequence_id, slot, vertical_neighbor, {q6('CASE WHEN vertical_neighbor THEN round_even(1000 * (score * 0.6::DOUBLE), 0) / 1000 ELSE score END')} AS score FROM pen""")
 def list_penalty(spark, folder):
     scored = sl.slot_metrics(slotted(spark, folder), _sizes(spark, folder))
     return rounded(sl.list_penalty(scored).select("sequence_id", "slot", "vertical_neighbor", "score"))
