@@ -6,19 +6,18 @@ from framefusion.operators.scan import ordered_scan
 from framefusion.operators.slots import FollowingSlots, SlotClusters, thousandths
 
 
-class Count:
-    def __init__(self):
-        self.n = 0
-
-    def step(self, row):
-        self.n += 1
-        return []
+def test_null_keys_are_one_key(spark):
+    class Count:
+        def __init__(self):
+            self.n = 0
 
-    def finish(self):
-        return [(self.n,)]
+        def step(self, row):
+            self.n += 1
+            return []
 
+        def finish(self):
+            return [(self.n,)]
 
-def test_null_keys_are_one_key(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (5, 1), (None, 3), (5, 2)], "k int, o int")
     assert sorted(r.n for r in ordered_scan(df, ["k"], ["o"], lambda key: Count(), "n int").collect()) == [2, 3]
 
