@@ -144,7 +144,9 @@ def pr_curve(matched: DataFrame, total_truth: int) -> DataFrame:
     on. Both running values are taken piece by piece of confidence and, among equal ones, of frames, so no single task sees the whole
     order, not even where all confidences are the same."""
     c = F.col
-    piece = F.struct(c("threshold"), (-c("conf")).alias("p"), F.floor(c("image_id") / FRAMES).alias("f"))
+    # Names have no even pieces that keep their order, so a frame is one.
+    frame = c("image_id") if dict(matched.dtypes)["image_id"] == "string" else F.floor(c("image_id") / FRAMES)
+    piece = F.struct(c("threshold"), (-c("conf")).alias("p"), frame.alias("f"))
     order = [F.desc("conf"), F.asc("image_id"), F.asc("detection_index")]
     rows = matched.withColumn("_piece", piece)
     totals = rows.groupBy("threshold", "_piece").agg(F.sum("tp").alias("t"), F.count(F.lit(1)).alias("n"))
