@@ -149,5 +149,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                   item_text: str = "text") -> DataFrame:
     """The documents that leak nothing, with their columns."""
     bad = leaks(docs, benchmark, key, text, item, item_text).select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).distinct()
+    bad = broadcast_if_small(stored(bad, "bench-leaking"), 1_000_000)
     same = docs[key].eqNullSafe(bad["_key"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["_hash"])
-    return docs.join(broadcast_if_small(stored(bad, "bench-leaking"), 1_000_000), same, "left_anti")
+    return docs.join(bad, same, "left_anti")
