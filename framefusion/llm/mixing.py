@@ -4,7 +4,7 @@ Sizes are words. Every source gets a token target (`source_targets`). Document r
 words, under those targets are exp(lambda of the source); the dual is convex with a diagonal Hessian, so Newton steps of all sources
 run side by side as one expression over the table of sources (`tilted_rates`). Rates become whole copies: every document gets the
 whole part; the rest of the target goes, one more copy each, to documents in the order of a hash until the next would pass it, and the
-gap that is left to the largest documents that still fit (`FILLS` of them). So a source misses its target by less than its smallest
+gap that is left to the largest documents that still fit, until none does. So a source misses its target by less than its smallest
 unchosen document, or by what no document can fill.
 
 Defined results: null texts have size 0; documents without words are taken 0 times their size; a null source is a source of its own,
@@ -21,7 +21,6 @@ from framefusion.llm.storage import broadcast_if_small, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-FILLS = 4
 BLOCK_ROWS = 2_000
 STEPS = 80
 
@@ -67,6 +66,40 @@ def tilted_rates(targets: DataFrame) -> DataFrame:
             .withColumn("rate", F.coalesce(F.exp("lambda"), F.lit(0.0))))
 
 
+def _fills(free: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(sk, words, all, last): the sizes taken to fill the gaps (sk, gap, below); of a size not taken whole (`all`), the documents from
+    place `last` on, struct(block, at).
+
+    Documents go from the largest to the smallest, each taken if it still fits. Only the table of sizes is walked, in rounds of running
+    sums: a round takes sizes whole until one does not fit whole, and of that one as many documents as fit. That leaves less than half of
+    the gap, so the rounds are at most the binary digits of the widest gap; they end when nothing fits."""
+    sizes = stored(free.groupBy("sk", "words").agg(F.count(F.lit(1)).alias("n")), "mix-fill-sizes")
+    descending = Window.partitionBy("sk").orderBy(F.col("words").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    taken = None
+    while True:
+        side = broadcast_if_small(stored(gaps, "mix-gaps"))
+        fit = sizes.join(side, "sk").where((F.col("words") <= F.col("gap")) & (F.col("below").isNull() | (F.col("words") < F.col("below"))))
+        fit = fit.withColumn("left", F.col("gap") - F.sum(F.col("words") * F.col("n")).over(descending) + F.col("words") * F.col("n"))
+        step = stored(fit.where("left >= 0").withColumn("take", F.least(F.col("n"), F.expr("left div words"))).select(
+            "sk", "words", "n", "take", (F.col("left") - F.col("take") * F.col("words")).alias("left")), "mix-fills")
+        taken = step if taken is None else taken.unionByName(step)
+        if step.limit(1).count() == 0:
+            break
+        gaps = step.groupBy("sk").agg(F.min_by("left", "words").alias("gap"), F.min("words").alias("below"))
+    taken = taken.where("take > 0").select("sk", "words", "n", "take")
+    # Of a size taken in part: the block that holds its last document by counts of blocks, then the place inside this block.
+    part = free.join(broadcast_if_small(taken.where("take < n").drop("n")), ["sk", "words"])
+    counts = part.groupBy("sk", "words", "block").agg(F.count(F.lit(1)).alias("n"), F.max("take").alias("take"))
+    counts = (counts.withColumn("upto", F.sum("n").over(Window.partitionBy("sk", "words").orderBy(F.col("block").desc())
+                                                        .rowsBetween(Window.unboundedPreceding, 0)))
+              .where((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("n") < F.col("take")))
+              .select("sk", "words", "block", (F.col("take") - F.col("upto") + F.col("n")).alias("nth")))
+    inside = Window.partitionBy("sk", "words").orderBy(F.col("at").desc())
+    last = (part.select("sk", "words", "block", "at").join(broadcast_if_small(stored(counts, "mix-last")), ["sk", "words", "block"])
+            .withColumn("k", F.row_number().over(inside)).where("k = nth").select("sk", "words", F.struct("block", "at").alias("last")))
+    return stored(taken.select("sk", "words", (F.col("take") == F.col("n")).alias("all")).join(last, ["sk", "words"], "left"), "mix-filled")
+
+
 def balanced_copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
                     weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per distinct (key, source, size): `multiplicity` of that row, `source_size`, `target`, `rate` and `copies`."""
@@ -92,20 +125,14 @@ def balanced_copies(docs: DataFrame, key: str = "doc_id", source: str = "source"
     blocks = blocks.select("sk", "block", F.coalesce(F.sum("block_words").over(
         Window.partitionBy("sk").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     ranked = stored(ranked.join(blocks, ["sk", "block"]).withColumn("upto", F.col("upto") + F.col("earlier")).drop("earlier"), "mix-ranks")
-    fills = (ranked.groupBy("sk").agg((F.max("rest") - F.sum(F.when(F.col("upto") <= F.col("rest"), F.col("words")).otherwise(0)))
-                                      .alias("gap")).withColumn("fills", F.array().cast("array<struct<words:bigint,block:bigint,at:int>>")))
-    free = ranked.where((F.col("upto") > F.col("rest")) & (F.col("rest") > 0)).select("sk", F.struct("words", "block", "at").alias("spot"))
-    for _ in range(FILLS):
-        side = broadcast_if_small(stored(fills, "mix-fills"))
-        best = (free.join(side, "sk").where((F.col("spot.words") <= F.col("gap")) & (F.col("spot.words") > 0)
-                                            & ((F.size("fills") == 0) | (F.col("spot") < F.try_element_at("fills", F.lit(-1)))))
-                .groupBy("sk").agg(F.max("spot").alias("spot")))
-        fills = side.join(best, "sk", "left").select(
-            "sk", (F.col("gap") - F.coalesce(F.col("spot.words"), F.lit(0))).alias("gap"),
-            F.when(F.col("spot").isNull(), F.col("fills")).otherwise(F.concat("fills", F.array("spot"))).alias("fills"))
-    side = broadcast_if_small(stored(fills, "mix-fills"))
-    more = (F.col("upto") <= F.col("rest")) | F.array_contains("fills", F.struct("words", "block", "at"))
-    return ranked.join(side, "sk").select(
+    gaps = ranked.groupBy("sk").agg((F.max("rest") - F.sum(F.when(F.col("upto") <= F.col("rest"), F.col("words")).otherwise(0)))
+                                    .alias("gap"), F.lit(None).cast("long").alias("below"))
+    free = ranked.where((F.col("upto") > F.col("rest")) & (F.col("rest") > 0) & (F.col("words") > 0))
+    fills = broadcast_if_small(_fills(free, gaps))
+    spot = F.struct("block", "at")
+    more = (F.col("upto") <= F.col("rest")) | F.coalesce((F.col("words") > 0) & (F.col("rest") > 0) & (
+        F.col("all") | (spot >= F.col("last"))), F.lit(False))
+    return ranked.join(fills, ["sk", "words"], "left").select(
         F.col("key").alias(key), F.col("source").alias(source), "size", "multiplicity", "source_size", "target", "rate",
         F.least(F.lit(MOST_COPIES).cast("long"), F.col("base") + more.cast("long")).alias("copies"))
 

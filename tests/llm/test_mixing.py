@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 from framefusion.llm import mixing
@@ -48,3 +49,23 @@ def test_mix(spark):
     assert kept.columns == ["doc_id", "text", "source", "copies"]
     assert kept.count() == sum(r.copies > 0 for r in out)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_long_documents_leave_no_gap_that_others_fill(spark):
+    """One document of half its source, first in hash order, stops the run at once; some sizes are taken in part."""
+    by_hash = sorted(range(8_000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows, rest = [], iter(by_hash[3:])
+    for first, s in zip(by_hash, "abc"):
+        small = [(next(rest), 5 + k * 7 % 11, s) for k in range(2_500 if s == "a" else 700)]
+        rows += [(first, sum(n for _, n, _ in small), s), *small]
+    df = spark.createDataFrame([(d, "w " * n, s) for d, n, s in rows], "doc_id long, text string, source string")
+    out = mixing.balanced_copies(df).collect()
+    assert len(out) == len(rows)
+    for s in "abc":
+        mine = [r for r in out if r.source == s]
+        gap = math.floor(mine[0].target + 0.5) - sum(r.copies * r.size for r in mine)
+        fewest = min(r.copies for r in mine)
+        left = [r.size for r in mine if r.copies == fewest]
+        assert gap >= 0 and (gap == 0 or not left or gap < min(left)), (s, gap, left[:5])
+    again = mixing.balanced_copies(df.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
