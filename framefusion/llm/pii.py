@@ -40,8 +40,13 @@ DIGIT_WORDS = {
         "nine neun neuf nueve")) for w in ws.split()},
 }
 AT_WORDS, DOT_WORDS = "at arroba arobase ät", "dot punkt punto point"
-# Endings that make bare words around spelled signs an address.
+# Endings that make bare words around spelled signs an address even where the words look like running text.
 ENDINGS = frozenset("com org net edu gov info biz io co uk eu de fr es us ca ch at it nl be example".split())
+# Words of running text that are no part of a host when its signs are spelled without brackets.
+PROSE = frozenset(
+    "the a an this that these those each every any some one which what no all both another such same certain of on in to is so or and "
+    "as by for from with we he she they you i my me his her its our their if then than when where was were are has had have do does did "
+    "but not now just only product products der die das den dem ein eine le la les un une el los las y et und".split())
 
 _ODD = re.compile("[" + "".join(map(re.escape, [*HOMOGLYPHS, *INVISIBLE, *SIGNS]))
                   + "\uff01-\uff5e\u2460-\u2468\u2080-\u2089\u00b2\u00b3\u00b9\u0660-\u0669\u06f0-\u06f9\u0966-\u096f"
@@ -59,10 +64,13 @@ _NAME = r"[A-Za-z0-9%+_-]{1,64}"
 _MASKED = re.compile(
     rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}|{_DOT_PLAIN}){_NAME}){{0,5}}?(?P<at>@|{_AT}|{_AT_PLAIN})"
     rf"(?P<host>[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT}|{_DOT_PLAIN})[A-Za-z0-9-]{{1,63}}){{1,6}})", re.I)
-# What a text must show before its signs are rewritten: a sign in brackets, or both signs spelled around one word.
+# What a text must show before its signs are rewritten: a sign in brackets, a spelled dot, or a sign between blanks. Every match of
+# `_MASKED` and `_MASKED_IP` that is rewritten shows one of them.
 _HINT = re.compile(
     rf"[\[({{<]\s*(?:{AT_WORDS.replace(' ', '|')}|{DOT_WORDS.replace(' ', '|')}|@|\.)\s*[\])}}>]"
-    rf"|\s(?:{AT_WORDS.replace(' ', '|')}|@)\s+[A-Za-z0-9-]+\s+(?:{DOT_WORDS.replace(' ', '|')})\s", re.I)
+    rf"|\s(?:{DOT_WORDS.replace(' ', '|')}|@)\s", re.I)
+_MASKED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,9}}(?:(?:\.|{_DOT}|{_DOT_PLAIN})[0-9]{{1,9}}){{3}}(?![0-9])", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -149,10 +157,29 @@ def _plain(c: str) -> str:
 
 def _has_spelled(text: str) -> bool:
     """Does a run of spelled digits stand in the text? Words are counted first: the pattern is slow, and few texts need it."""
-    words = text.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
+    words = _LETTERS.findall(text.lower())
     return sum(map(DIGIT_WORDS.__contains__, words)) > 2 and _SPELLED.search(text) is not None
 
 
+def _is_address(name: str, sign: str, host: str) -> bool:
+    """Is a match of `_MASKED` a disguised address, and neither a plain one nor running text?"""
+    bracketed, spelled = re.search(_DOT, host, re.I), re.findall(_DOT_PLAIN, host, re.I)
+    labels = [x.lower() for x in re.split(rf"{_DOT}|{_DOT_PLAIN}|\.", host, flags=re.I)]
+    if sign == "@":
+        return bool(bracketed or spelled or re.search(rf"{_DOT}|{_DOT_PLAIN}", name, re.I))
+    if not re.fullmatch(_AT_PLAIN, sign, re.I) or bracketed:
+        return True
+    ending = len(labels[-1]) > 1 and labels[-1].isalpha()
+    if sign.strip() == "@":
+        return ending
+    if not spelled:
+        return False
+    if sign.strip().lower() != "at":
+        return ending
+    # "at this point in" is no address: "point" needs a listed ending, and no label may be a word of running text.
+    return labels[-1] in ENDINGS or ending and spelled[-1].strip().lower() != "point" and PROSE.isdisjoint(labels)
+
+
 def rewrites(text: str) -> Rewritten | None:
     """The normalised text, or None if no transducer finds anything to rewrite."""
     odd = not text.isascii() and _ODD.search(text)
@@ -168,19 +195,16 @@ def rewrites(text: str) -> Rewritten | None:
     if _HINT.search(out.text):
         for m in _MASKED.finditer(out.text):
             name, sign, host = out.text[m.start():m.start("at")], m["at"], m["host"]
-            bare_at = sign.strip() != "" and re.fullmatch(_AT_PLAIN, sign, re.I)
-            bare_dots = re.search(_DOT_PLAIN, host, re.I)
-            if bare_at and not re.search(_DOT, host, re.I) and not (
-                    bare_dots and re.split(r"[\s.]+", host)[-1].lower() in ENDINGS):
-                continue
-            if sign == "@" and not re.search(rf"{_DOT}|{_DOT_PLAIN}", name + " " + host, re.I):
+            if not _is_address(name, sign, host):
                 continue
             for piece, begin in ((name, m.start()), (host, m.start("host"))):
                 edits += [(begin + d.start(), begin + d.end(), ".") for d in re.finditer(rf"{_DOT}|{_DOT_PLAIN}", piece, re.I)]
             if sign != "@":
                 edits.append((m.start("at"), m.end("at"), "@"))
-    if edits:
-        out.replace(sorted(edits))
+        if edits:
+            out.replace(sorted(edits))
+        out.replace([(m.start() + d.start(), m.start() + d.end(), ".") for m in _MASKED_IP.finditer(out.text)
+                     for d in re.finditer(rf"{_DOT}|{_DOT_PLAIN}", m[0], re.I)])
     return out if any(out.touched) or len(out.text) != len(text) else None
 
 

@@ -43,6 +43,21 @@ def test_disguises_map_back_to_source(text, added):
     assert pii.listed([s for s in every if s not in base]) == added or pii.listed(every) == added
 
 
+@pytest.mark.parametrize("text,added", [
+    ("x jane@example dot com", "email:2:22"), ("x jane at mail.example dot com", "email:2:30"), ("x jane @ example.com", "email:2:20"),
+    ("x 192[.]168[.]1[.]1 y", "ip:2:19"), ("x 192 dot 168 dot 1 dot 1 y", "ip:2:25"), ("x 192.168[.]1.300 y", ""),
+    ("jane at firma dot pl", "email:0:20"), ("jane at firma dot app.", "email:0:21"), ("jane arroba firma punto cl", "email:0:26"),
+    ("card (four nine two nine three four eight three eight five one four six three zero six)", "card:6:86"),
+    ("stop at some point in time, at this point we", ""), ("take it at the dot product of", ""), ("lunch @ 12.30 there", "")])
+def test_more_disguises(text, added):
+    base, every = pii.spans(text)
+    assert not base and pii.listed(every) == added
+
+
+def test_short_card_words_need_no_blanks():
+    assert pii.rewrites("(one two three)").text == "(123)"
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 300_000 + " @ " * 100, "1" * 300_000, "five " * 50_000, "(at)" * 5_000, "a." * 100_000 + "@", " " * 300_000):
         pii.spans(text)
