@@ -2,9 +2,10 @@
 
 The standard library's parser streams a page once. A line is the text between two block boundaries; it carries its number of
 tags and the element it stands in. The ratios of text to tags are smoothed with a Gaussian kernel and cut at a threshold taken
-from their own spread. The region is the deepest container that holds nine tenths of the text above the threshold; all of its
-lines are returned, short ones included, except those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments.
+from their own spread. The region is the article or main element in the containers that hold nine tenths of the text above the
+threshold; all of its lines are returned, short ones included, except those inside menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments. A page without such an element is its own region, as no other container shows where the
+article ends; only lines of links before its first and after its last other line are left out, and of these not paragraphs and headings.
 
 Defined results: a null or empty page gives an empty text; a page without markup is its own text; markup that is never closed ends
 with the page; equal pages give equal texts; pages of any length are read whole.
@@ -43,6 +44,7 @@ DROPPED_NAMES = frozenset(
 NEUTRAL_PREFIXES = frozenset("with has no is without not".split())
 
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 SIGMA, SHARE = 1.5, 0.9
 
 
@@ -199,9 +201,10 @@ def main_text(html: str | None) -> str:
                 if page.tag_of[region] in ("article", "main") and page.tag_of[node] not in ("article", "main"):
                     continue
                 region = node
-    if page.tag_of[region] in ("", "html", "body"):
-        chosen = [text for _, text, _, linked in page.lines if 2 * linked < len(text)]
-        return " ".join(chosen or [text for _, text, _, _ in page.lines])
+    if page.tag_of[region] not in ("article", "main"):
+        plain = [i for i, (_, text, _, linked) in enumerate(page.lines) if 2 * linked < len(text)]
+        return " ".join(text for i, (node, text, _, _) in enumerate(page.lines)
+                        if not plain or plain[0] <= i <= plain[-1] or page.tag_of[node] in PARAGRAPHS)
     inside = [False] * nodes
     inside[region] = True
     for node in range(region + 1, nodes):

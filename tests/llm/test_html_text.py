@@ -24,6 +24,19 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+LONG = "A long sentence of the article that goes on with many plain words, and on. " * 12
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<body><div id=wrap><h1>Title</h1><p>A lead.</p><div class=body><p>{LONG}</p><p>{LONG}</p></div></div></body>", f"Title A lead. {LONG}{LONG}"),
+    (f"<div>Intro here.<blockquote>{LONG}</blockquote></div>", f"Intro here. {LONG}"),
+    (f"<div><p>Intro here.<section><p>{LONG}</section><p>Last words.</div>", f"Intro here. {LONG}Last words."),
+    (f"<body><p>{LONG}<p><a href=x>The linked report</a><p>{LONG}<p>See <a href=y>the source</a>", f"{LONG}The linked report {LONG}See the source"),
+    (f"<body><ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><div>{LONG}</div></div><ul><li><a href=c>More</a></ul>", LONG)])
+def test_pages_of_div_and_section_keep_the_whole_article(html, text):
+    assert main_text(html) == text.strip()
+
+
 def test_long_and_deep_pages():
     assert len(main_text("<article>" + "<p>some words here</p>" * 20_000).split()) == 60_000
     assert main_text("<div>" * 5_000 + "deep text" + "</div>" * 5_000) == "deep text"
