@@ -1,13 +1,16 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
-A text becomes a template: punctuation goes, letters become lower case, and numbers, names and units become typed placeholders, one
-token for one token. Windows of `WIDTH` template tokens are hashed; the windows of all documents meet those of the benchmark in one
-hash join. A re-parameterised question matches like a copied one. Its slots are then read back from the texts: within one alignment of a
-document and an item, every value of the item must stand for one value of the document, or the alignment is dropped. A document leaks an
-item when its consistent alignments cover at least `COVER` of the item's windows.
-
-Defined results: null and empty texts match nothing; items with fewer than `LITERALS` plain tokens cannot be told and match nothing;
-items shorter than a window are one window; rows equal in id and text are all reported; repeated items are reported for each id; empty
+A text has two forms, one token for one token. Its template: punctuation goes, letters become lower case, and numbers, names and units
+become typed placeholders. Its plain form: the words in lower case without marks
+at their edges. Windows of `WIDTH` tokens are hashed; the windows of all documents meet those of the benchmark in one hash join for
+each form. A re-parameterised question matches by its template. Its slots are then read back from the texts: within one alignment of a
+document and an item, every value of the item must stand for one value of the document, or the alignment is dropped. A copied passage
+matches by its plain windows as well, whatever its templates hold and whatever values were altered elsewhere in it. A document leaks
+an item when its consistent alignments cover at least `COVER` of the item's template windows, or its plain windows at least `COVER` of
+all windows of the item.
+
+Defined results: null and empty texts match nothing; items with fewer than `LITERALS` tokens cannot be told and match nothing, templates with
+fewer plain tokens match by the plain form alone; items shorter than a window are one window; rows equal in id and text are all reported; repeated items are reported for each id; empty
 tables give an empty result.
 """
 
@@ -34,6 +37,7 @@ _NAME = r"(?<=[^.!?:;\s]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 _NUMBER = (r"(?<![\p{L}\p{N}\u0001])(?:\p{N}++(?:[.,:/]\p{N}++)*+|(?i:" + NUMBERS.replace(" ", "|") + r")(?![\p{L}\p{N}]))")
 _UNIT_AFTER = r"(\u0001n\S*\s+)(?:(?i:" + UNITS.replace(" ", "|") + r"))(?![\p{L}\p{N}])"
 _UNIT_ON = r"(\u0001n)(?:(?i:" + UNITS.replace(" ", "|") + r"))(?![\p{L}\p{N}])"
+_EDGES = r"(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S)"
 _MARKS = r"[^\p{L}\p{N}\s\u0001]+"
 _SPACE = r"\s+"
 
@@ -52,6 +56,11 @@ def raw_tokens(text: Column) -> Column:
     return _tokens(_plain(text))
 
 
+def plain_tokens(text: Column) -> Column:
+    """Lower-case tokens without marks at their edges, aligned with `template_tokens`."""
+    return _tokens(F.lower(F.regexp_replace(_plain(text), _EDGES, "")))
+
+
 def template_tokens(text: Column) -> Column:
     """Lower-case tokens with typed placeholders."""
     out = _plain(text)
@@ -77,39 +86,51 @@ def with_windows(df: DataFrame, tokens: str, widths: list[int]) -> DataFrame:
     return df
 
 
+FORMS = {"template": template_tokens, "plain": plain_tokens}
+
+
 def benchmark_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, item_pos, width, window, item_windows) of the windows that hold enough plain tokens, and the item's raw tokens' hash."""
-    items = benchmark.select(F.col(item).alias("item"), raw_tokens(F.col(text)).alias("item_raw"),
-                             template_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") >= LITERALS)
+    """(item, form, item_pos, width, window, item_windows) of the template windows that hold enough plain tokens and of all plain windows,
+    and the item's raw tokens."""
+    forms = [benchmark.select(F.col(item).alias("item"), F.lit(form).alias("form"), raw_tokens(F.col(text)).alias("item_raw"),
+                              tokens_of(F.col(text)).alias("tokens")) for form, tokens_of in FORMS.items()]
+    items = forms[0].unionByName(forms[1]).where(F.size("tokens") >= LITERALS)
     items = with_windows(items, "tokens", list(range(LITERALS, WIDTH + 1)))
     width = F.least(F.lit(WIDTH), F.size("tokens"))
     chosen = F.coalesce(*[F.when(width == w, F.col(f"w{w}")) for w in range(LITERALS, WIDTH + 1)])
     literal = F.transform("tokens", lambda t: (~t.startswith("\u0001")).cast("int"))
-    each = (items.select("item", "item_raw", literal.alias("literal"), width.alias("width"), F.posexplode(chosen).alias("item_pos", "window"))
+    each = (items.select("item", "form", "item_raw", literal.alias("literal"), width.alias("width"), F.posexplode(chosen).alias("item_pos", "window"))
             .where(F.aggregate(F.slice("literal", F.col("item_pos") + 1, F.col("width")), F.lit(0), lambda s, x: s + x) >= LITERALS))
-    totals = each.groupBy("item").agg(F.countDistinct("item_pos").alias("item_windows"))
-    return each.drop("literal").join(totals, "item")
+    totals = each.groupBy("item", "form").agg(F.countDistinct("item_pos").alias("item_windows"))
+    return each.drop("literal").join(totals, ["item", "form"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
           item_text: str = "text", cover: float = COVER) -> DataFrame:
     """One row per document and item it leaks: key, `text_hash` of the document, item, matched `windows`, `item_windows`, `cover`,
-    `slots` (placeholder pairs seen) and `changed_slots` (pairs whose values differ)."""
+    `slots` (placeholder pairs seen) and `changed_slots` (pairs whose values differ), both 0 where only plain windows tell the leak.
+    Of the two forms the one that covers more of the item is reported, the template if both cover the same."""
     known = stored(benchmark_windows(benchmark, item, item_text), "bench-windows")
     widths = sorted({WIDTH} | {r.width for r in known.select("width").distinct().collect()})  # at most WIDTH values
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
-    scanned = with_windows(texts.select("key", "text_hash", template_tokens(F.col("text")).alias("tokens")), "tokens", widths)
-    short = known.select("window", "width", "item", "item_pos", "item_windows")
+    short = known.select("window", "form", "width", "item", "item_pos", "item_windows")
     side = broadcast_if_small(short, 200_000)
     found = None
-    for w in widths:
-        # The outer form: for the inner one the optimiser adds a filter on the array and, pushing it to the scan, unfolds the
-        # doubling steps into one expression that makes every window many times over.
-        each = scanned.select("key", "text_hash", F.posexplode_outer(f"w{w}").alias("pos", "window")).where(F.col("window").isNotNull())
-        hit = each.join(side.where(F.col("width") == w).drop("width"), "window").withColumn("width", F.lit(w)).drop("window")
-        found = hit if found is None else found.unionByName(hit)
+    for form, tokens_of in FORMS.items():
+        scanned = with_windows(texts.select("key", "text_hash", tokens_of(F.col("text")).alias("tokens")), "tokens", widths)
+        for w in widths:
+            # The outer form: for the inner one the optimiser adds a filter on the array and, pushing it to the scan, unfolds the
+            # doubling steps into one expression that makes every window many times over.
+            each = scanned.select("key", "text_hash", F.posexplode_outer(f"w{w}").alias("pos", "window")).where(F.col("window").isNotNull())
+            mine = side.where((F.col("width") == w) & (F.col("form") == form)).drop("width")
+            hit = each.join(mine, "window").withColumn("width", F.lit(w)).drop("window")
+            found = hit if found is None else found.unionByName(hit)
     # Equal rows would double their windows; one of each is enough here.
-    found = stored(found.dropDuplicates(["key", "text_hash", "item", "pos", "item_pos"]), "bench-hits")
+    found = stored(found.dropDuplicates(["key", "text_hash", "form", "item", "pos", "item_pos"]), "bench-hits")
+    copied = (found.where("form = 'plain'").groupBy("key", "text_hash", "item").agg(
+        F.countDistinct("item_pos").alias("windows"), F.max("item_windows").alias("item_windows"))
+        .withColumns({"slots": F.lit(0), "changed_slots": F.lit(0), "form": F.lit(0)}))
+    found = found.where("form = 'template'")
     aligned = found.withColumn("shift", F.col("pos") - F.col("item_pos"))
     group = ["key", "text_hash", "item", "shift"]
     runs = aligned.groupBy(*group).agg(F.collect_set("item_pos").alias("places"), F.max("width").alias("width"),
@@ -140,7 +161,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     judged = consistent.groupBy("key", "text_hash", "item").agg(
         F.countDistinct("place").alias("windows"), F.max("item_windows").alias("item_windows"), F.max("slots").alias("slots"),
         F.max("changed_slots").alias("changed_slots"))
-    judged = judged.withColumn("cover", F.col("windows") / F.col("item_windows")).where(F.col("cover") >= cover)
+    judged = (judged.withColumn("form", F.lit(1)).unionByName(copied).withColumn("cover", F.col("windows") / F.col("item_windows"))
+              .where(F.col("cover") >= cover).groupBy("key", "text_hash", "item")
+              .agg(F.max(F.struct("cover", "form", "windows", "item_windows", "slots", "changed_slots")).alias("best"))
+              .select("key", "text_hash", "item", "best.*"))
     return judged.select(F.col("key").alias(key), "text_hash", F.col("item").alias(item), "windows", "item_windows", "cover", "slots",
                          "changed_slots")
 

@@ -64,3 +64,15 @@ def test_slots_must_be_consistent(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4]
     assert dc.leaks(df.limit(0), bench).count() == 0 and dc.leaks(df, bench.limit(0)).count() == 0
     assert dc.without_leaks(df, bench.limit(0)).count() == 4
+
+
+def leaked(spark, docs, items):
+    found = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return sorted((r.doc_id, r.item_id) for r in found.collect())
+
+
+def test_one_altered_value_leaves_the_copied_windows(spark):
+    item = ("the old mill by the river was built in 1999 and the miller who lived there with a large family sold it again in 1999 to "
+            "a baker from the town who wanted to live near the water")
+    docs = [(1, "x " + item), (2, "x " + item[::-1].replace("9991", "8991", 1)[::-1]), (3, "the old mill was built in 1999")]
+    assert leaked(spark, docs, [(1, item)]) == [(1, 1), (2, 1)]
