@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
 A text has two forms, one token for one token. Its template: punctuation goes, letters become lower case, and numbers, names and units
-become typed placeholders. Its plain form: the words in lower case without marks
+become typed placeholders, by rules that do not look at what stands around a name. Its plain form: the words in lower case without marks
 at their edges. Windows of `WIDTH` tokens are hashed; the windows of all documents meet those of the benchmark in one hash join for
 each form. A re-parameterised question matches by its template. Its slots are then read back from the texts: within one alignment of a
 document and an item, every value of the item must stand for one value of the document, or the alignment is dropped. A copied passage
@@ -30,10 +30,18 @@ UNITS = (
     "kj cal kcal pa kpa degree degrees kb mb gb tb meter meters metre metres kilometer kilometers kilometre kilometres")
 NUMBERS = ("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
            "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion")
+# Capitalised words that are no names wherever they stand.
+FIRST = (
+    "The An This That These Those There Here It Its He She They We You His Her Their Our Your My In On At To Of For From By With Without "
+    "Within Into Over Under Between Among After Before During Since Until While When Where Why How What Which Who Whom Whose If Then Than "
+    "And Or But Nor So Yet As Is Are Was Were Be Been Being Do Does Did Has Have Had Can Could Will Would Shall Should May Might Must Not "
+    "No Yes All Any Both Each Every Some Many Much More Most Few Several Such Other Another Only Also Now Once Because Although Though "
+    "However Therefore Thus Hence Let Given Suppose Assume Consider Find Compute Calculate Determine Solve Prove Show Explain Describe "
+    "List Name State Choose Select Write Give Use Using Well Please Question Answer Note Today Yesterday Tomorrow")
 NUM, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
 
 _LONE = r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)"
-_NAME = r"(?<=[^.!?:;\s]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+_NAME = r"(?<![\p{L}\p{N}\u0001])(?!(?:" + FIRST.replace(" ", "|") + r")(?![\p{L}\p{N}]))\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 _NUMBER = (r"(?<![\p{L}\p{N}\u0001])(?:\p{N}++(?:[.,:/]\p{N}++)*+|(?i:" + NUMBERS.replace(" ", "|") + r")(?![\p{L}\p{N}]))")
 _UNIT_AFTER = r"(\u0001n\S*\s+)(?:(?i:" + UNITS.replace(" ", "|") + r"))(?![\p{L}\p{N}])"
 _UNIT_ON = r"(\u0001n)(?:(?i:" + UNITS.replace(" ", "|") + r"))(?![\p{L}\p{N}])"

@@ -76,3 +76,11 @@ def test_one_altered_value_leaves_the_copied_windows(spark):
             "a baker from the town who wanted to live near the water")
     docs = [(1, "x " + item), (2, "x " + item[::-1].replace("9991", "8991", 1)[::-1]), (3, "the old mill was built in 1999")]
     assert leaked(spark, docs, [(1, item)]) == [(1, 1), (2, 1)]
+
+
+def test_names_at_sentence_starts_short_and_numeric_items(spark):
+    items = [(1, "Alice has 3 apples. Alice buys 4 more pears. Alice eats 2 of them."), (2, "Lima is the capital of Peru"),
+             (3, "12 7 1999 4.5 88 3 41 20 6 17"), (4, "Anna Berta Carla Dora Emil")]
+    docs = [(1, "so Carol has 7 apples. Carol buys 9 more pears. Carol eats 5 of them."), (2, "they say Lima is the capital of Peru ok"),
+            (3, "see 12 7 1999 4.5 88 3 41 20 6 17 there"), (4, "with Anna Berta Carla Dora Emil"), (5, "see 12 7 1999 4.6 88 3 42 20 6 17")]
+    assert leaked(spark, docs, items) == [(1, 1), (2, 2), (3, 3), (4, 4)]
