@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framefusion.llm import (chat, decontamination, html_text, licenses, mixing, near_dup, neighbours, pii, quality,
-                             toxicity)
+from framefusion.llm import (chat, decontamination, fill_middle, html_text, licenses, mixing, near_dup, neighbours, pii,
+                             quality, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,31 @@ def op1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_licenses")
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op13_fill_middle", r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS parts,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents)
+, chosen AS (
+  SELECT doc_id, text, parts, CAST(len(parts) AS BIGINT) AS n,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(parts) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(parts) + 1) AS c2,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+           OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+         WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM units)
+, cut AS (
+  SELECT doc_id, text, n, form, array_to_string(parts[1:least(c1, c2)], '') AS p,
+    array_to_string(parts[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(parts[greatest(c1, c2) + 1:], '') AS s
+  FROM chosen)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                   ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut""")
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    formed = fill_middle.restore(fill_middle.fill_in_middle(table(spark, folder, "documents")))
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                         F.sha2("restored", 256).alias("restored_sha256"))
