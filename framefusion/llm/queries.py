@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framefusion.llm import (chat, decontamination, fill_middle, html_text, licenses, mixing, near_dup, neighbours, pii,
-                             quality, toxicity)
+from framefusion.llm import (chat, decontamination, divergence, fill_middle, html_text, licenses, mixing, near_dup, neighbours,
+                             pii, quality, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,36 @@ def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     formed = fill_middle.restore(fill_middle.fill_in_middle(table(spark, folder, "documents")))
     return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                          F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op11_source_divergence", r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents)
+, counted AS (SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs
+  FROM (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(terms) AS term FROM docs) GROUP BY lang, source, r, term)
+  GROUP BY lang, source, term)
+, kept AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM counted GROUP BY lang, term HAVING sum(docs) >= 30)
+, langs AS (SELECT l.lang, count(k.term) AS v, CAST(coalesce(sum(k.n), 0) AS BIGINT) AS total
+  FROM (SELECT DISTINCT lang FROM docs) l LEFT JOIN kept k ON l.lang = k.lang GROUP BY l.lang)
+, groups AS (SELECT g.lang, g.source, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT c.* FROM counted c JOIN kept k ON c.lang = k.lang AND c.term = k.term) c ON g.lang = c.lang AND g.source = c.source
+  GROUP BY g.lang, g.source)
+, shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + CAST(1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.total + 5 * l.v) AS BIGINT) AS p,
+    1 + CAST(1000000000::HUGEINT * (k.n + 5) // (l.total + 5 * l.v) AS BIGINT) AS q
+  FROM groups g JOIN langs l ON g.lang = l.lang JOIN kept k ON g.lang = k.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term)
+, far AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source)
+, pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source)
+, parts AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 50""")
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
