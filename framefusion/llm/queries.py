@@ -201,13 +201,13 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op12_line_dedup", """
 WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
-, lines AS (SELECT doc_id, r, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM docs)
+, lines AS (SELECT doc_id, r, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM docs)
 , keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines)
 , often AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3)
 , marked AS (SELECT e.*, coalesce(o.k IS NOT NULL AND e.doc_id IS DISTINCT FROM o.last, FALSE) AS gone FROM keyed e LEFT JOIN often o ON e.k = o.k)
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r, doc_id""")
 def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = line_dedup.without_repeated_lines(table(spark, folder, "documents"))
