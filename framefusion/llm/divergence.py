@@ -28,13 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framefusion.llm.storage import stored
+from framefusion.llm.storage import broadcast_if_small, stored
 
 # Fixed value: what stands between terms, as a pattern over code points.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 10 ** 9
 SHARD_TERMS, BLOCK = 500, 128
-CHUNK_BYTES, FLUSH_ROWS = 4 << 20, 1 << 20
+CHUNK_BYTES, FLUSH_ROWS = 1 << 20, 1 << 18
 _NAMES = ["lang", "source", "term"]
 
 
@@ -80,32 +80,28 @@ def _merged(tables: list[pa.Table], keys: list[str]) -> pa.Table:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a task: (lang, source, term, n, docs); the row with term null says that the group occurs."""
+    """Partial counts of a task: (lang, source, term, n, docs). Groups are numbers until the counts leave the task."""
+    numbers: dict[tuple[str, str], int] = {}
     held: list[pa.Table] = []
     rows = 0
-    kinds = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
-            yield from _merged(held, _NAMES).cast(kinds).combine_chunks().to_batches(max_chunksize=1 << 16)
+            names = [pa.array(x, pa.string()) for x in zip(*numbers)]
+            for part in _merged(held, ["group", "term"]).to_batches(max_chunksize=1 << 14):
+                group = part.column(0)
+                yield pa.RecordBatch.from_arrays([names[0].take(group), names[1].take(group), *part.columns[1:]], [*_NAMES, "n", "docs"])
             held.clear()
+            pa.default_memory_pool().release_unused()
 
     for batch in batches:
         texts, langs, sources = (batch.column(i).cast(pa.string()).fill_null("") for i in range(3))
-        langs, sources = langs.dictionary_encode(), sources.dictionary_encode()
-        width = max(1, len(sources.dictionary))
-        pairs, number = np.unique(langs.indices.to_numpy().astype(np.int64) * width + sources.indices.to_numpy(), return_inverse=True)
-        lang, source = langs.dictionary.take(pa.array(pairs // width)), sources.dictionary.take(pa.array(pairs % width))
-        number = pa.array(number)
-        zero = pa.array(np.zeros(len(pairs), np.int64))
-        held.append(pa.table({"lang": lang, "source": source, "term": pa.nulls(len(pairs), pa.string()), "n": zero, "docs": zero}))
+        groups = pa.array([numbers.setdefault(x, len(numbers)) for x in zip(langs.to_pylist(), sources.to_pylist())], pa.int64())
         for first, piece in _pieces(texts):
-            counts = count_terms(piece, number.slice(first, len(piece)))
-            held.append(pa.table({"lang": lang.take(counts["group"].combine_chunks()), "source": source.take(counts["group"].combine_chunks()),
-                                  **{c: counts[c] for c in ("term", "n", "docs")}}))
-            rows += counts.num_rows
+            held.append(count_terms(piece, groups.slice(first, len(piece))))
+            rows += held[-1].num_rows
             if rows > FLUSH_ROWS:
-                held[:] = [_merged(held, _NAMES)]
+                held[:] = [_merged(held, ["group", "term"])]
                 rows = held[0].num_rows
                 if rows > FLUSH_ROWS // 2:
                     yield from flush()
@@ -113,11 +109,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _texts(docs: DataFrame, **columns: str) -> DataFrame:
+    return docs.select(*[F.coalesce(docs[f"`{c}`"].cast("string"), F.lit("")).alias(name) for name, c in columns.items()])
+
+
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs) of every term; each occurring group also has a row whose term is null."""
-    picked = docs.select(*[docs[f"`{c}`"].cast("string").alias(a) for c, a in ((text, "text"), (lang, "lang"), (source, "source"))])
-    partial = picked.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    return partial.groupBy(*_NAMES).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """(lang, source, term, n, docs) of every term. The tasks have summed their rows, so these meet by (lang, term) at once: what
+    follows then finds all sources of a term in one place."""
+    partial = _texts(docs, text=text, lang=lang, source=source).mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    return partial.repartition("lang", "term").groupBy(*_NAMES).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _best(values: np.ndarray, most: int) -> np.ndarray:
@@ -169,18 +169,18 @@ def _audit(smooth: int, top: int):
     return audit
 
 
-def divergences(counts: DataFrame, min_docs: int = 30, smooth: int = 5, top: int = 50) -> DataFrame:
-    """(lang, source, part, item, value, rank) from the counts of `term_counts`, which are read several times: write them first."""
-    kept = (counts.where(F.col("term").isNotNull()).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
+def divergences(counts: DataFrame, every: DataFrame, min_docs: int = 30, smooth: int = 5, top: int = 50) -> DataFrame:
+    """(lang, source, part, item, value, rank) from the counts of `term_counts`, which are read twice (write them first), and from
+    every (lang, source) that occurs."""
+    kept = (counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
             .where(F.col("docs") >= min_docs).select("lang", "term", "lang_n"))
     kept = stored(kept, "divergence-terms")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total")).select(
         "*", F.ceil(F.col("v") / SHARD_TERMS).cast("int").alias("shards"))
     terms = kept.join(langs.select("lang", "shards"), "lang").select(
         "lang", "term", "lang_n", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"))
-    held = stored(counts.join(terms, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", "shard"), "divergence-kept")
+    held = stored(counts.drop("docs").join(broadcast_if_small(terms), ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", "shard"), "divergence-kept")
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    every = counts.where(F.col("term").isNull()).select("lang", "source")
     blocks = every.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     groups = every.join(blocks, "lang").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select(
         "lang", "source", F.coalesce("n", F.lit(0)).cast("long").alias("total"), "v", "lang_total", "shards", "blocks",
@@ -211,4 +211,5 @@ def divergences(counts: DataFrame, min_docs: int = 30, smooth: int = 5, top: int
 def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 30,
                       smooth: int = 5, top: int = 50) -> DataFrame:
     """The audit of a table of documents."""
-    return divergences(stored(term_counts(docs, text, lang, source), "divergence-counts"), min_docs, smooth, top)
+    every = _texts(docs, lang=lang, source=source).distinct()
+    return divergences(stored(term_counts(docs, text, lang, source), "divergence-counts"), every, min_docs, smooth, top)
