@@ -177,6 +177,7 @@ def divergences(counts: DataFrame, every: DataFrame, min_docs: int = 30, smooth:
     kept = stored(kept, "divergence-terms")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total")).select(
         "*", F.ceil(F.col("v") / SHARD_TERMS).cast("int").alias("shards"))
+    langs = broadcast_if_small(langs)
     terms = kept.join(langs.select("lang", "shards"), "lang").select(
         "lang", "term", "lang_n", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"))
     held = stored(counts.drop("docs").join(broadcast_if_small(terms), ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", "shard"), "divergence-kept")
