@@ -11,6 +11,7 @@ from framefusion.operators import measures
 from framefusion.operators import rules
 from framefusion.operators import slots as sl
 from framefusion.operators import tracking as tr
+from framefusion.operators.recheck import Recheck
 from framefusion.plans import fixtures as fx
 from framefusion.plans.registry import q6, query, r6, rounded, sql_class, sql_best_digit, sql_digits, sql_strip
 from framefusion.plans.relations import KEY
@@ -86,6 +87,33 @@ def run_sequences(spark, folder):
     return tr.run_sequences(_frames(spark, folder), fx.detections(spark, folder), fx.candidates(spark, folder), choose, "auto", "roi_prior")
 
 
+class InWindow:
+    """A stand-in for a recogniser: the digits of the frame's own readings whose corner lies in the window."""
+
+    def predict_many(self, crops):
+        return [[("".join(c for c in r["text"] if "0" <= c <= "9"), r["ocr_conf"]) for r in row["read"]
+                 if row["x1"] <= r["x1"] <= row["x2"] and row["y1"] <= r["y1"] <= row["y2"]] for row in crops]
+
+
+def whole_row(row):
+    return row if row["read"] else None
+
+
+def _walked(spark, folder):
+    """Every frame walked with its locks read again, its readings at hand as pixels would be."""
+    read = fx.candidates(spark, folder).groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.struct("candidate_index", "text", "x1", "y1", "ocr_conf"))).alias("read"))
+    frames = _frames(spark, folder).join(read, "image_id", "left")
+    obs = tr.observations(frames, fx.detections(spark, folder), fx.candidates(spark, folder))
+    return tr.walk_frames(obs, recheck=Recheck(InWindow, whole_row, carry=("read",), min_conf=0.5))
+
+
+@query("sequence_rechecks")
+def sequence_rechecks(spark, folder):
+    """What is read where the locks are, inside the walk that moves them."""
+    return tr.rechecked(_walked(spark, folder), "roi_prior_recheck").drop("image_width", "image_height")
+
+
 @query("history_recheck")
 def history_recheck(spark, folder):
     """Windows of every locked box read by a stand-in recogniser: the readings of the frame inside the window."""
@@ -97,7 +125,7 @@ def history_recheck(spark, folder):
                                                 F.col("x1").alias("rx"), F.col("y1").alias("ry")).where("text <> ''")
     hits = windows.join(reads, "image_id").where("rx BETWEEN x1 AND x2 AND ry BETWEEN y1 AND y2").withColumnRenamed("score", "proposal_score")
     held = states.select("image_id", *[F.col(f"before_{n}").alias(f"lock_{n}") for n in ("x1", "y1", "x2", "y2")],
-                         F.col("before_score").alias("history_score"), "lock_age")
+                         F.col("before_score").alias("history_score"), F.col("before_age").alias("lock_age"))
     return tr.history_recheck(hits, held)
 
 
