@@ -8,62 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framefusion.functions import boxes as bx
-from framefusion.operators.scan import ordered_scan
-
-BOX = ("x1", "y1", "x2", "y2")
-
-
-class KeepApart:
-    """Keep a box unless it overlaps a kept one too much. Holds the kept boxes, which cannot crowd: any two of them
-    overlap less than the threshold."""
-
-    def __init__(self, threshold: float, by_source: bool):
-        self.threshold, self.by_source, self.kept = threshold, by_source, []
-
-    def step(self, row):
-        box = tuple(row[c] for c in BOX)
-        area = max(0.0, box[2] - box[0]) * max(0.0, box[3] - box[1])
-        if area <= 0:
-            return []
-        for other, other_area, source in self.kept:
-            if self.by_source and source != row["source"]:
-                continue
-            w = min(box[2], other[2]) - max(box[0], other[0])
-            h = min(box[3], other[3]) - max(box[1], other[1])
-            inter = max(0.0, w) * max(0.0, h)
-            union = area + other_area - inter
-            if union > 0 and inter / union > self.threshold:
-                return []
-        self.kept.append((box, area, row.get("source")))
-        return [tuple(row.values())]
-
-    def finish(self):
-        return []
-
-
-def keep_apart(boxes: DataFrame, keys: Sequence[str], order: Sequence[Column], threshold: float,
-               by_source: bool = False) -> DataFrame:
-    """Walk the boxes of a key in `order` and drop each that overlaps a kept one by more than `threshold`.
-
-    The walk depends on every choice before it, so it is a scan: Spark partitions and sorts, the scan holds the kept
-    boxes of one key. (A fold over a collected array was measured to be over ten times slower at 200 boxes per key.)
-    """
-    names = [f"_o{i}" for i in range(len(order))]
-    rows = boxes.where(bx.area(bx.cols()) > 0).select("*", *[o.alias(n) for o, n in zip(order, names)])
-    walked = ordered_scan(rows, keys, names, lambda key: KeepApart(threshold, by_source), rows.schema)
-    return walked.select(*boxes.columns)
-
+from framefusion.operators.greedy import BOX, CROWD, keep_apart, take_pairs
+from framefusion.operators.skew import find_hot
 
 def greedy_nms(boxes: DataFrame, keys: Sequence[str], score: str, threshold: float, tie: str = "area",
-               by_source: bool = False) -> DataFrame:
-    """By falling score; on ties the larger box first, or with `tie='-area'` the smaller. The box itself settles the rest."""
+               by_source: bool = False, arrival: Sequence[str] = (), limit: int | None = CROWD) -> DataFrame:
+    """By falling score; on ties the larger box first, or with `tie='-area'` the smaller, then the one that came first by the columns of
+    `arrival`. Without an arrival the box itself settles the rest."""
     area = bx.area(bx.cols())
-    order = [-F.col(score), -area if tie == "area" else area, *[F.col(c) for c in BOX]]
-    return keep_apart(boxes, keys, order, threshold, by_source)
+    order = [-F.col(score), -area if tie == "area" else area, *[F.col(c) for c in (*arrival, *BOX)]]
+    return keep_apart(boxes, keys, order, threshold, by_source, limit)
 
 
-def arrival_dedupe(boxes: DataFrame, keys: Sequence[str], arrival: str, threshold: float) -> DataFrame:
-    return keep_apart(boxes, keys, [F.col(arrival)], threshold)
+def arrival_dedupe(boxes: DataFrame, keys: Sequence[str], arrival: str, threshold: float, limit: int | None = CROWD) -> DataFrame:
+    return keep_apart(boxes, keys, [F.col(arrival)], threshold, limit=limit)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, on: str, tile: float) -> DataFrame:
@@ -84,43 +42,22 @@ def near_pairs(left: DataFrame, right: DataFrame, on: str, tile: float) -> DataF
         & (c("l_tx") == first_x) & (c("l_ty") == first_y)).drop("l_tx", "l_ty", "r_tx", "r_ty")
 
 
-class TakeBest:
-    """One-to-one matching: pairs arrive by falling confidence, then falling overlap; the first free truth wins."""
-
-    def __init__(self, key):
-        self.key, self.used, self.current, self.done = key, set(), None, False
-
-    def step(self, row):
-        if row["l_detection_index"] != self.current:
-            self.current, self.done = row["l_detection_index"], False
-        if self.done or row["r_truth_index"] in self.used:
-            return []
-        self.used.add(row["r_truth_index"])
-        self.done = True
-        return [(*self.key, row["l_detection_index"], row["r_truth_index"])]
-
-    def finish(self):
-        return []
-
-
-def match_boxes(predictions: DataFrame, truth: DataFrame, thresholds: Sequence[float] = (0.5,), tile: float = 64.0) -> DataFrame:
-    """Every prediction at every threshold, with `tp` 1 when it takes a truth box of its frame.
+def match_boxes(predictions: DataFrame, truth: DataFrame, thresholds: Sequence[float] = (0.5,), tile: float = 64.0,
+                limit: int = CROWD) -> DataFrame:
+    """Every prediction at every threshold, with `tp` 1 when it takes a truth box of its frame: predictions go by falling confidence, then
+    by arrival, and each takes the free truth it overlaps most.
 
-    Only overlapping pairs are formed. The greedy walk is a scan per frame and threshold over those pairs.
+    Only overlapping pairs are formed; frames with more than `limit` predictions are decided in rounds.
     """
     pairs = near_pairs(predictions.select("image_id", "detection_index", "conf", *BOX),
                        truth.select("image_id", "truth_index", *BOX), "image_id", tile)
     overlap = bx.iou(bx.cols("l_"), bx.cols("r_"))
     levels = F.array(*[F.lit(float(t)) for t in thresholds])
     tried = pairs.withColumn("overlap", overlap).select(
-        F.col("l_image_id").alias("image_id"), "l_detection_index", "r_truth_index", F.col("l_conf").alias("conf"), "overlap",
-        F.explode(F.filter(levels, lambda t: F.col("overlap") >= t)).alias("threshold"))
-    key = dict(predictions.dtypes)["image_id"]
-    taken = ordered_scan(
-        tried, ["image_id", "threshold"],
-        [F.desc("conf"), F.asc("l_detection_index"), F.desc("overlap"), F.asc("r_truth_index")], TakeBest,
-        f"image_id {key}, threshold double, detection_index {dict(predictions.dtypes)['detection_index']}, "
-        f"truth_index {dict(truth.dtypes)['truth_index']}")
+        F.col("l_image_id").alias("image_id"), F.col("l_detection_index").alias("detection_index"), F.col("r_truth_index").alias("truth_index"),
+        F.col("l_conf").alias("conf"), "overlap", F.explode(F.filter(levels, lambda t: F.col("overlap") >= t)).alias("threshold"))
+    taken = take_pairs(tried, ["image_id", "threshold"], "detection_index", "truth_index",
+                       [-F.col("conf"), F.col("detection_index"), -F.col("overlap")], find_hot(predictions, ["image_id"], limit))
     everything = predictions.select("image_id", "detection_index", "conf", F.explode(levels).alias("threshold"))
     return everything.join(taken, ["image_id", "threshold", "detection_index"], "left").withColumn(
         "tp", F.col("truth_index").isNotNull().cast("int"))

@@ -103,8 +103,9 @@ def _window(box: Box, kind: str, score: Column | float, keep: Column | None = No
 
 
 def _inline(rows: DataFrame, windows: Sequence[Column], keep: Sequence[str]) -> DataFrame:
-    made = F.filter(F.array(*windows), lambda w: w.isNotNull())
-    return rows.select(*keep, F.explode(made).alias("_w")).select(*keep, "_w.*")
+    """Rows for every window that is there; `window_index` is its place in the list."""
+    made = F.filter(F.array(*[F.struct(F.lit(i).alias("window_index"), w.alias("w")) for i, w in enumerate(windows)]), lambda p: p["w"].isNotNull())
+    return rows.select(*keep, F.explode(made).alias("_w")).select(*keep, "_w.window_index", "_w.w.*")
 
 
 def geometric_windows(regions: DataFrame, prefix: str = "") -> DataFrame:
@@ -117,7 +118,7 @@ def geometric_windows(regions: DataFrame, prefix: str = "") -> DataFrame:
             box = bx.clamp(bx.sub_window(region, left, top, right, bottom), w, h)
             big = (box.x2 - box.x1 >= 14) & (box.y2 - box.y1 >= 10)
             windows.append(_window(box, f"{prefix}geometric_window", 0.35 - 0.01 * (i + j), big))
-    keep = [c for c in regions.columns if c not in ("x1", "y1", "x2", "y2", "kind", "score")]
+    keep = [c for c in regions.columns if c not in ("x1", "y1", "x2", "y2", "kind", "score", "window_index")]
     return _inline(regions, windows, keep)
 
 
@@ -195,10 +196,14 @@ def repair_windows(proposals: DataFrame, keys: Sequence[str], mode: str = "both"
         windows.append(_window(box, "repair_wide_split", capped(0.84, score + 0.14), wide & (bx.area(box) > 0)))
     windows.append(_window(bx.expand(b, w, h, F.greatest(F.lit(2.0), bw * 0.04), F.greatest(F.lit(4.0), bh * 0.30)),
                            "repair_vertical_expand", capped(0.82, score + 0.08), bh < h * 0.10))
-    made = _inline(proposals, windows, [*keys, "image_width", "image_height"])
-    best = greedy_nms(made, keys, "score", 0.68)
-    order = [F.desc("score"), F.desc(bx.area(bx.cols())), *[F.asc(c) for c in ("x1", "y1", "x2", "y2")]]
-    best = top_rows(best, keys, order, k).drop("rank")
+    # Windows come in the order of their proposals, the best proposal first.
+    place = proposals["window_index"] if "window_index" in proposals.columns else F.lit(0)
+    rows = proposals.select("*", (-score).alias("_p1"), (-bx.area(b)).alias("_p2"), place.alias("_p3"))
+    came = ["_p1", "_p2", "_p3", "window_index"]
+    made = _inline(rows, windows, [*keys, "image_width", "image_height", *came[:3]])
+    best = greedy_nms(made, keys, "score", 0.68, arrival=came, limit=None)
+    order = [F.desc("score"), F.desc(bx.area(bx.cols())), *[F.asc(c) for c in (*came, "x1", "y1", "x2", "y2")]]
+    best = top_rows(best, keys, order, k).drop("rank", *came[:3])
     if mode == "wide":
         return best.where("kind = 'repair_wide_split'")
     return best.where("kind <> 'repair_wide_split'") if mode == "tight" else best
@@ -222,7 +227,7 @@ def history_windows(locks: DataFrame, keys: Sequence[str], max_area: float = 0.1
     frame = F.greatest(F.lit(1.0), (w * h).cast("double"))
     windows = [_window(box, kind, score, (bx.area(box) > 0) & (bx.area(box) / frame <= max_area)) for kind, box, score in variants]
     made = _inline(locks, windows, [*keys, "image_width", "image_height"])
-    return greedy_nms(made, keys, "score", 0.92)
+    return greedy_nms(made, keys, "score", 0.92, arrival=["window_index"], limit=None)
 
 
 class LineAssigner:

@@ -9,7 +9,7 @@ from framefusion.operators import box_sets as bs
 from framefusion.operators import generate as gen
 from framefusion.operators import learn
 from framefusion.plans import fixtures as fx
-from framefusion.plans.registry import q6, query, r6, rounded, sql_class, sql_digits, sql_runs, sql_strip
+from framefusion.plans.registry import q6, query, r6, rounded, sql_class, sql_digits, sql_iou, sql_runs, sql_strip
 from framefusion.plans.relations import KEY
 from framefusion.plans.selection import LABELLED, selected
 
@@ -80,12 +80,30 @@ def broad_regions(spark, folder):
 def _proposals(spark, folder):
     regions = fx.detections(spark, folder).where("class_id IN (0, 3)").withColumn("region_index", F.col("detection_index"))
     made = gen.geometric_windows(regions.select("image_id", "region_index", "image_width", "image_height", "x1", "y1", "x2", "y2"))
-    return bs.greedy_nms(made, ["image_id", "region_index"], "score", 0.68)
+    return bs.greedy_nms(made, ["image_id", "region_index"], "score", 0.68, arrival=["window_index"], limit=None)
 
 
-@query("greedy_nms")
+def sql_walk(rows: str, keys: str, order: str, threshold: float, extra: str = "") -> str:
+    """Views that walk the boxes of a key one by one; `walked` has those that stay."""
+    same = sql_iou("p", "q").replace("q.", "boxes[k + 1].")
+    return f""", ord AS (SELECT {keys}, list({{x1: x1, y1: y1, x2: x2, y2: y2{extra}}} ORDER BY {order}) AS boxes FROM {rows} WHERE (x2 - x1) * (y2 - y1) > 0 GROUP BY {keys}),
+ walk AS (SELECT {keys}, boxes, 1 AS k, [boxes[1]] AS kept FROM ord UNION ALL
+   SELECT {keys}, boxes, k + 1, CASE WHEN len(list_filter(kept, lambda p: {same} > {threshold})) = 0 THEN list_append(kept, boxes[k + 1]) ELSE kept END
+   FROM walk WHERE k < len(boxes)),
+ walked AS (SELECT {keys}, unnest(kept, recursive := true) FROM walk WHERE k = len(boxes))"""
+
+
+WINDOWED = f""", g(i, j, a, t, b, d) AS (VALUES {_grid_sql()}),
+ regions AS (SELECT image_id, detection_index AS region_index, x1, y1, x2, y2 FROM detections WHERE class_id IN (0, 3)),
+ win AS (SELECT image_id, region_index, 'geometric_window' AS kind, 0.35 - 0.01 * (i + j) AS score, 1 + 4 * i + j AS pos, greatest(0.0, least(1280, x1 + (x2 - x1) * a)) AS x1, greatest(0.0, least(720, y1 + (y2 - y1) * t)) AS y1,
+   greatest(0.0, least(1280, x1 + (x2 - x1) * b)) AS x2, greatest(0.0, least(720, y1 + (y2 - y1) * d)) AS y2 FROM regions, g),
+ prop AS (SELECT * FROM win WHERE x2 - x1 >= 14 AND y2 - y1 >= 10 UNION ALL SELECT image_id, region_index, 'region_full', 0.38::DOUBLE, 0, x1, y1, x2, y2 FROM regions)
+ {sql_walk('prop', 'image_id, region_index', 'score DESC, (x2 - x1) * (y2 - y1) DESC, pos', 0.68, ', kind: kind, score: score')}"""
+
+
+@query("greedy_nms", f"""{WINDOWED} SELECT image_id, region_index, kind, {q6('score')} AS score, {q6('x1')} AS x1, {q6('y1')} AS y1, {q6('x2')} AS x2, {q6('y2')} AS y2 FROM walked""")
 def greedy_nms(spark, folder):
-    return _proposals(spark, folder).select("image_id", "region_index", "kind", "score", "x1", "y1", "x2", "y2")
+    return rounded(_proposals(spark, folder).select("image_id", "region_index", "kind", "score", "x1", "y1", "x2", "y2"))
 
 
 @query("repair_windows")
@@ -155,9 +173,22 @@ def _truth_boxes(spark, folder):
         "image_id", F.col("candidate_index").alias("truth_index"), "x1", "y1", "x2", "y2")
 
 
-@query("match_boxes")
+MATCHED = f""", truth AS (SELECT image_id, candidate_index AS truth_index, x1, y1, x2, y2 FROM candidates WHERE source = 'original_ocr'),
+ level(threshold) AS (VALUES (0.5::DOUBLE), (0.75::DOUBLE)),
+ pair AS (SELECT image_id, threshold, detection_index, truth_index, conf, {sql_iou('d', 't')} AS overlap FROM detections d JOIN truth t USING (image_id), level),
+ por AS (SELECT image_id, threshold, list({{d: detection_index, t: truth_index}} ORDER BY conf DESC, detection_index, overlap DESC, truth_index) AS pairs
+   FROM pair WHERE overlap >= threshold AND overlap > 0 GROUP BY image_id, threshold),
+ take AS (SELECT image_id, threshold, pairs, 1 AS k, [pairs[1]] AS got FROM por UNION ALL
+   SELECT image_id, threshold, pairs, k + 1, CASE WHEN len(list_filter(got, lambda p: p.d = pairs[k + 1].d OR p.t = pairs[k + 1].t)) = 0 THEN list_append(got, pairs[k + 1]) ELSE got END
+   FROM take WHERE k < len(pairs)),
+ taken AS (SELECT image_id, threshold, unnest(got, recursive := true) FROM take WHERE k = len(pairs))"""
+
+
+@query("match_boxes", f"""{MATCHED} SELECT a.image_id, a.detection_index, l.threshold, t.t AS truth_index, CAST(t.t IS NOT NULL AS INT) AS tp, {q6('a.conf')} AS conf
+ FROM detections a CROSS JOIN level l LEFT JOIN taken t ON a.image_id = t.image_id AND a.detection_index = t.d AND l.threshold = t.threshold""")
 def match_boxes(spark, folder):
-    return bs.match_boxes(fx.detections(spark, folder), _truth_boxes(spark, folder), (0.5, 0.75))
+    out = bs.match_boxes(fx.detections(spark, folder), _truth_boxes(spark, folder), (0.5, 0.75))
+    return rounded(out.select("image_id", "detection_index", "threshold", "truth_index", "tp", "conf"), "threshold")
 
 
 @query("detection_metrics")
