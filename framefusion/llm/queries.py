@@ -65,17 +65,8 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns), "conv_id", [F.col("turn"), F.col("role"), F.col("text")])
 
 
-_FILL = """, g{i} AS (SELECT g.sk, g.gap - coalesce(p.words, 0) AS gap, coalesce(p.words, g.words) AS words, coalesce(p.pos, g.pos) AS pos
-  FROM g{j} g LEFT JOIN (SELECT sk, words, pos FROM (SELECT r.sk, r.words, r.pos,
-      row_number() OVER (PARTITION BY r.sk ORDER BY r.words DESC, r.pos DESC) AS k
-    FROM ranked r JOIN g{j} x ON r.sk = x.sk
-    WHERE r.upto > r.rest AND r.rest > 0 AND r.words <= x.gap AND r.words > 0
-      AND (x.words IS NULL OR r.words < x.words OR (r.words = x.words AND r.pos < x.pos))) WHERE k = 1) p ON g.sk = p.sk)
-, t{i} AS (SELECT a.sk, b.pos FROM g{j} a JOIN g{i} b ON a.sk = b.sk WHERE b.pos IS DISTINCT FROM a.pos)"""
-
-
-@query("op4_mix", rf"""
-WITH sized AS (
+@query("op4_mix", r"""
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, size, count(*) AS multiplicity, size * count(*) AS words, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash,
     coalesce('s' || source, 'n') AS sk
   FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents)
@@ -92,10 +83,12 @@ WITH sized AS (
 , ranked AS (SELECT s.*, p.source_size, p.target, p.base, p.rest,
     row_number() OVER w AS pos, CAST(sum(words) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM sized s JOIN plan p ON s.sk = p.sk WINDOW w AS (PARTITION BY s.sk ORDER BY s.hash, s.doc_id NULLS FIRST, s.size))
-, g0 AS (SELECT sk, CAST(max(rest) - sum(CASE WHEN upto <= rest THEN words ELSE 0 END) AS BIGINT) AS gap,
-    CAST(NULL AS BIGINT) AS words, CAST(NULL AS BIGINT) AS pos FROM ranked GROUP BY sk)
-{''.join(_FILL.format(i=i + 1, j=i) for i in range(4))}
-, picked AS ({' UNION '.join(f'SELECT * FROM t{i + 1}' for i in range(4))})
+, gaps AS (SELECT sk, CAST(max(rest) - sum(CASE WHEN upto <= rest THEN words ELSE 0 END) AS BIGINT) AS gap FROM ranked GROUP BY sk)
+, free AS (SELECT r.sk, g.gap, list({w: r.words, p: r.pos} ORDER BY r.words DESC, r.pos DESC) FILTER (WHERE r.words <= g.gap) AS docs
+  FROM ranked r JOIN gaps g ON r.sk = g.sk WHERE r.upto > r.rest AND r.rest > 0 AND r.words > 0 GROUP BY r.sk, g.gap)
+, fill AS (SELECT sk, gap, docs, CAST(NULL AS BIGINT) AS pos FROM free UNION ALL
+  SELECT sk, gap - docs[1].w, list_filter(docs[2:], lambda d: d.w <= gap - docs[1].w), docs[1].p FROM fill WHERE len(docs) > 0)
+, picked AS (SELECT sk, pos FROM fill WHERE pos IS NOT NULL)
 , copied AS (SELECT r.*, least(3, r.base + CASE WHEN r.upto <= r.rest OR k.pos IS NOT NULL THEN 1 ELSE 0 END) AS copies
   FROM ranked r LEFT JOIN picked k ON r.sk = k.sk AND r.pos = k.pos)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
