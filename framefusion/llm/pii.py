@@ -3,7 +3,8 @@
 Plain identifiers are found in the text as it is (the base spans). Then transducers rewrite the text: invisible characters go,
 homoglyphs and full-width forms become ASCII, runs of spelled digits become digits, and bracketed or spelled-out at/dot signs become
 signs. Each rewrite keeps, for every character it writes, the source characters it stands for, so a span found in the rewritten
-text maps back to code points of the source. Such a span is added only if it holds something rewritten and meets no base span.
+text maps back to code points of the source. Such a span is added if it holds something rewritten and does not lie inside a base span;
+a disguise that a base span meets halfway (a hidden character in a name) gives a span beside that base span, and both are redacted as one.
 
 Defined results: a null text is an empty one and has no spans; texts of any length are read whole, in time linear in their length
 for base spans; equal rows give equal spans. Spans are sorted by start, then by kind in the order of KINDS.
@@ -51,6 +52,9 @@ PROSE = frozenset(
 _ODD = re.compile("[" + "".join(map(re.escape, [*HOMOGLYPHS, *INVISIBLE, *SIGNS]))
                   + "\uff01-\uff5e\u2460-\u2468\u2080-\u2089\u00b2\u00b3\u00b9\u0660-\u0669\u06f0-\u06f9\u0966-\u096f"
                   + "\U0001d400-\U0001d7ff]")
+# Labels of a disguised name or host after the first: more are read from the thirtieth before the sign on. Each place where a name may
+# begin looks that far ahead, which keeps the search linear.
+LABELS = 30
 _SEP = r"[\s,.\-]{1,3}"
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?<![^\W\d_])(?:{_WORD}{_SEP}){{2,}}{_WORD}(?![^\W\d_])", re.I)
@@ -59,17 +63,17 @@ _AT = rf"(?:\s*[\[({{<]\s*(?:{AT_WORDS.replace(' ', '|')}|@)\s*[\])}}>]\s*)"
 _DOT = rf"(?:\s*[\[({{<]\s*(?:{DOT_WORDS.replace(' ', '|')}|\.)\s*[\])}}>]\s*)"
 _AT_PLAIN = rf"(?:\s+(?:{AT_WORDS.replace(' ', '|')}|@)\s+)"
 _DOT_PLAIN = rf"(?:\s+(?:{DOT_WORDS.replace(' ', '|')})\s+)"
-_NAME = r"[A-Za-z0-9%+_-]{1,64}"
+_NAME = r"[A-Za-z0-9%+_-]++"
 # An address with at least one disguised sign: brackets always count, bare words only when both signs are spelled.
 _MASKED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}|{_DOT_PLAIN}){_NAME}){{0,5}}?(?P<at>@|{_AT}|{_AT_PLAIN})"
-    rf"(?P<host>[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT}|{_DOT_PLAIN})[A-Za-z0-9-]{{1,63}}){{1,6}})", re.I)
+    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}|{_DOT_PLAIN}){_NAME}){{0,{LABELS}}}?(?P<at>@|{_AT}|{_AT_PLAIN})"
+    rf"(?P<host>[A-Za-z0-9-]++(?:(?:\.|{_DOT}|{_DOT_PLAIN})[A-Za-z0-9-]++){{1,{LABELS}}})", re.I)
 # What a text must show before its signs are rewritten: a sign in brackets, a spelled dot, or a sign between blanks. Every match of
 # `_MASKED` and `_MASKED_IP` that is rewritten shows one of them.
 _HINT = re.compile(
     rf"[\[({{<]\s*(?:{AT_WORDS.replace(' ', '|')}|{DOT_WORDS.replace(' ', '|')}|@|\.)\s*[\])}}>]"
     rf"|\s(?:{DOT_WORDS.replace(' ', '|')}|@)\s", re.I)
-_MASKED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,9}}(?:(?:\.|{_DOT}|{_DOT_PLAIN})[0-9]{{1,9}}){{3}}(?![0-9])", re.I)
+_MASKED_IP = re.compile(rf"(?<![0-9])[0-9]++(?:(?:\.|{_DOT}|{_DOT_PLAIN})[0-9]++){{3}}(?![0-9])", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -215,11 +219,11 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     plain = rewrites(text)
     if plain is None:
         return base, base
-    added = []
+    added, own = [], set(base)
     for start, kind, end in base_spans(plain.text):
         a, b = plain.starts[start], plain.ends[end - 1]
         changed = any(plain.touched[start:end]) or b - a != end - start
-        if changed and not any(s < b and a < e for s, _, e in base):
+        if changed and (a, kind, b) not in own and not any(s <= a and b <= e for s, _, e in base):
             added.append((a, kind, b))
     return base, sorted(base + added)
 
