@@ -41,8 +41,9 @@ FIRST = (
 NUM, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
 
 _LONE = r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)"
-_NAME = r"(?<![\p{L}\p{N}\u0001])(?!(?:" + FIRST.replace(" ", "|") + r")(?![\p{L}\p{N}]))\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
-_NUMBER = (r"(?<![\p{L}\p{N}\u0001])(?:\p{N}++(?:[.,:/]\p{N}++)*+|(?i:" + NUMBERS.replace(" ", "|") + r")(?![\p{L}\p{N}]))")
+# The cheap test of a character comes first: most places fail it before a word list is tried.
+_NAME = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}\u0001])(?!(?:" + FIRST.replace(" ", "|") + r")(?![\p{L}\p{N}]))\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+_NUMBER = (r"(?=[\p{N}" + "".join(sorted({w[0] + w[0].upper() for w in NUMBERS.split()})) + r"])(?<![\p{L}\p{N}\u0001])(?:\p{N}++(?:[.,:/]\p{N}++)*+|(?i:" + NUMBERS.replace(" ", "|") + r")(?![\p{L}\p{N}]))")
 _UNIT_AFTER = r"(\u0001n\S*\s+)(?:(?i:" + UNITS.replace(" ", "|") + r"))(?![\p{L}\p{N}])"
 _UNIT_ON = r"(\u0001n)(?:(?i:" + UNITS.replace(" ", "|") + r"))(?![\p{L}\p{N}])"
 _EDGES = r"(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S)"
