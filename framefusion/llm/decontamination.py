@@ -40,40 +40,50 @@ FIRST = (
     "List Name State Choose Select Write Give Use Using Well Please Question Answer Note Today Yesterday Tomorrow")
 NUM, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
 
-_LONE = r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)"
-# The cheap test of a character comes first: most places fail it before a word list is tried.
-_NAME = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}\u0001])(?!(?:" + FIRST.replace(" ", "|") + r")(?![\p{L}\p{N}]))\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
-_NUMBER = (r"(?=[\p{N}" + "".join(sorted({w[0] + w[0].upper() for w in NUMBERS.split()})) + r"])(?<![\p{L}\p{N}\u0001])(?:\p{N}++(?:[.,:/]\p{N}++)*+|(?i:" + NUMBERS.replace(" ", "|") + r")(?![\p{L}\p{N}]))")
-_UNIT_AFTER = r"(\u0001n\S*\s+)(?:(?i:" + UNITS.replace(" ", "|") + r"))(?![\p{L}\p{N}])"
-_UNIT_ON = r"(\u0001n)(?:(?i:" + UNITS.replace(" ", "|") + r"))(?![\p{L}\p{N}])"
-_EDGES = r"(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S)"
-_MARKS = r"[^\p{L}\p{N}\s\u0001]+"
-_SPACE = r"\s+"
+# Most characters are small letters and spaces: every pattern refuses them by one cheap test before it looks at classes and word lists.
+_RARE = r"(?=[^a-z ])"
+_FREE = r"(?<![a-z])(?<![\p{L}\p{N}\u0001])"
+_MARK = r"[^\p{L}\p{N}\s]"
 
 
-def _plain(text: Column) -> Column:
-    """The text without control marks and without tokens that hold no letter or digit."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u0001", " "), _LONE, " "), _SPACE, " "))
+def _any_of(words: str) -> str:
+    """A pattern for any of the words in either case, by first letters."""
+    rest = {first: "|".join(w[1:] for w in words.split() if w[0] == first) for first in sorted({w[0] for w in words.split()})}
+    return "(?:" + "|".join(f"[{a}{a.upper()}](?i:{b})" for a, b in rest.items()) + ")"
+
+
+_NAME = _RARE + r"(?=\p{Lu}\p{Ll})" + _FREE + r"(?!(?:" + FIRST.replace(" ", "|") + r")(?![\p{L}\p{N}]))\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+_NUMBER = (r"(?=[\p{N}" + "".join(sorted({w[0] + w[0].upper() for w in NUMBERS.split()})) + r"])" + _FREE
+           + r"(?:\p{N}++(?:[.,:/]\p{N}++)*+|" + _any_of(NUMBERS) + r"(?![\p{L}\p{N}]))")
+# Tokens of marks alone do not part a number from its unit.
+_UNIT_AFTER = r"(\u0001n\S*+\s++(?:" + _MARK + r"++\s++)*+)" + _any_of(UNITS) + r"(?![\p{L}\p{N}])"
+_UNIT_ON = r"(\u0001n)" + _any_of(UNITS) + r"(?![\p{L}\p{N}])"
+_EDGES = _RARE + r"(?:(?<!\S)" + _MARK + r"++|" + _MARK + r"++(?!\S))"
+_MARKS = _RARE + r"[^\p{L}\p{N}\s\u0001]++"
+
+
+def _whole(text: Column) -> Column:
+    """The text without control marks."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\u0001"), F.lit(" "))
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda t: t != "")
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
 def raw_tokens(text: Column) -> Column:
-    """The tokens as written, aligned with `template_tokens`."""
-    return _tokens(_plain(text))
+    """The tokens that hold a letter or digit as written, aligned with `template_tokens` and `plain_tokens`."""
+    return F.filter(F.split(_whole(text), r"\s+"), lambda t: t.rlike(r"[\p{L}\p{N}]"))
 
 
 def plain_tokens(text: Column) -> Column:
-    """Lower-case tokens without marks at their edges, aligned with `template_tokens`."""
-    return _tokens(F.lower(F.regexp_replace(_plain(text), _EDGES, "")))
+    """Lower-case tokens without marks at their edges; tokens of marks alone are gone."""
+    return _tokens(F.lower(F.regexp_replace(_whole(text), _EDGES, "")))
 
 
 def template_tokens(text: Column) -> Column:
-    """Lower-case tokens with typed placeholders."""
-    out = _plain(text)
-    out = F.regexp_replace(out, _NAME, NAME)
+    """Lower-case tokens with typed placeholders; tokens of marks alone are gone."""
+    out = F.regexp_replace(_whole(text), _NAME, NAME)
     out = F.regexp_replace(out, _NUMBER, NUM)
     out = F.regexp_replace(F.regexp_replace(out, _UNIT_AFTER, "$1" + UNIT), _UNIT_ON, "$1" + UNIT)
     return _tokens(F.lower(F.regexp_replace(out, _MARKS, "")))
