@@ -320,7 +320,7 @@ SHORT = lambda cond: f"arg_max(value, (-length(value), conf, -candidate_index))
  SELECT strategy, count(*) AS frames, count(*) FILTER (value <> '') AS read, count(*) FILTER (value <> '' AND value = truth) AS correct, {q6("count(*) FILTER (value <> '' AND value = truth) / count(*) * 100")} AS accuracy,
   {q6("count(*) FILTER (value <> '' AND value = truth) / greatest(1, count(*) FILTER (value <> '')) * 100")} AS accuracy_when_read FROM lg GROUP BY 1""")
 def compare_strategies(spark, folder):
-    """Ten rules that need no learned region; the others are computed as well and checked in the tests."""
+    """Ten rules that need no learned region; the others are in `compare_all_strategies`, which has no checking SQL."""
     values = _strategy_values(spark, folder)
     names = ["current", "top_conf", "shortest", "field_lock", "field_short", "field_wide", "field_short_wide", "field_or_top",
              "field_or_current", "field10_or_current"]
@@ -342,12 +342,13 @@ def compare_all_strategies(spark, folder):
     return measures.unpivot_strategies(_strategy_values(spark, folder), sl.STRATEGIES)
 
 
-@query("unread_reasons", f"""{READ}, un AS (SELECT image_id, sequence_id FROM frames WHERE image_id % 2 = 0),
+@query("unread_reasons", f"""{LABELLED}{READ}, un AS (SELECT f.image_id, f.sequence_id FROM frames f LEFT JOIN sel s USING (image_id) WHERE coalesce(s.score, 0) < 0.6),
  cl AS (SELECT u.image_id, bool_or({sql_digits('c.text')} <> '') AS d FROM un u JOIN rd c USING (image_id) WHERE u.sequence_id % 5 <> 0 AND sqrt(power(c.cx - 0.08, 2) + power(c.cy - 0.8, 2)) < 0.06 GROUP BY 1)
  SELECT u.image_id, CASE WHEN u.sequence_id % 5 = 0 THEN 'no_field' WHEN d IS NULL THEN 'nothing_near_field' WHEN NOT d THEN 'text_only' ELSE 'digit_but_rejected' END AS reason FROM un u LEFT JOIN cl USING (image_id)""")
 def unread_reasons(spark, folder):
-    """Even frames stand for the unread ones; every fifth sequence has no field."""
-    unread = _frames(spark, folder).where("image_id % 2 = 0").select("image_id", "sequence_id")
+    """Frames whose best reading scores below 0.6, or that have none, are unread; every fifth sequence has no field."""
+    read = selected(spark, folder).where("score >= 0.6").select("image_id")
+    unread = _frames(spark, folder).join(read, "image_id", "left_anti").select("image_id", "sequence_id")
     fields = _sizes(spark, folder).where("sequence_id % 5 <> 0").select("sequence_id", F.lit(0.08).alias("field_cx"), F.lit(0.8).alias("field_cy"))
     return measures.unread_reasons(unread, fields, fx.candidates(spark, folder)).select("image_id", "reason")
 
