@@ -77,10 +77,12 @@ def broad_regions(spark, folder):
     return gen.broad_regions(_frames(spark, folder), fx.detections(spark, folder), fx.candidates(spark, folder))
 
 
-def _proposals(spark, folder):
-    regions = fx.detections(spark, folder).where("class_id IN (0, 3)").withColumn("region_index", F.col("detection_index"))
-    made = gen.geometric_windows(regions.select("image_id", "region_index", "image_width", "image_height", "x1", "y1", "x2", "y2"))
-    return bs.greedy_nms(made, ["image_id", "region_index"], "score", 0.68, arrival=["window_index"], limit=None)
+def _regions(spark, folder):
+    return fx.detections(spark, folder).where("class_id IN (0, 3)").withColumn("region_index", F.col("detection_index"))
+
+
+def _proposals(regions, keys):
+    return bs.greedy_nms(gen.geometric_windows(regions), keys, "score", 0.68, arrival=["window_index"], limit=None)
 
 
 def sql_walk(rows: str, keys: str, order: str, threshold: float, extra: str = "") -> str:
@@ -103,12 +105,14 @@ WINDOWED = f""", g(i, j, a, t, b, d) AS (VALUES {_grid_sql()}),
 
 @query("greedy_nms", f"""{WINDOWED} SELECT image_id, region_index, kind, {q6('score')} AS score, {q6('x1')} AS x1, {q6('y1')} AS y1, {q6('x2')} AS x2, {q6('y2')} AS y2 FROM walked""")
 def greedy_nms(spark, folder):
-    return rounded(_proposals(spark, folder).select("image_id", "region_index", "kind", "score", "x1", "y1", "x2", "y2"))
+    out = _proposals(_regions(spark, folder).select("image_id", "region_index", *gen.PLACE), ["image_id", "region_index"])
+    return rounded(out.select("image_id", "region_index", "kind", "score", "x1", "y1", "x2", "y2"))
 
 
 @query("repair_windows")
 def repair_windows(spark, folder):
-    return gen.repair_windows(_proposals(spark, folder), ["image_id", "region_index"])
+    return gen.once_per_box(_regions(spark, folder), ["image_id", "region_index"],
+                            lambda regions, keys: gen.repair_windows(_proposals(regions, keys), keys))
 
 
 @query("history_windows")
