@@ -105,8 +105,8 @@ WINDOWED = f""", g(i, j, a, t, b, d) AS (VALUES {_grid_sql()}),
 
 @query("greedy_nms", f"""{WINDOWED} SELECT image_id, region_index, kind, {q6('score')} AS score, {q6('x1')} AS x1, {q6('y1')} AS y1, {q6('x2')} AS x2, {q6('y2')} AS y2 FROM walked""")
 def greedy_nms(spark, folder):
-    out = _proposals(_regions(spark, folder).select("image_id", "region_index", *gen.PLACE), ["image_id", "region_index"])
-    return rounded(out.select("image_id", "region_index", "kind", "score", "x1", "y1", "x2", "y2"))
+    return gen.once_per_box(_regions(spark, folder), ["image_id", "region_index"], lambda regions, keys: rounded(
+        _proposals(regions, keys).select(*keys, "kind", "score", "x1", "y1", "x2", "y2"), *keys))
 
 
 @query("repair_windows")
