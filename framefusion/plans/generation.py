@@ -58,8 +58,8 @@ def _grid_sql() -> str:
  SELECT image_id, detection_index, kind, {q6('score')} AS score, {q6('wx1')} AS x1, {q6('wy1')} AS y1, {q6('wx2')} AS x2, {q6('wy2')} AS y2 FROM w WHERE wx2 - wx1 >= 14 AND wy2 - wy1 >= 10
  UNION ALL SELECT image_id, detection_index, 'region_full', 0.38::DOUBLE, x1, y1, x2, y2 FROM detections""")
 def geometric_windows(spark, folder):
-    out = gen.geometric_windows(fx.detections(spark, folder))
-    return rounded(out.select("image_id", "detection_index", "kind", "score", "x1", "y1", "x2", "y2"))
+    return gen.once_per_box(fx.detections(spark, folder), ["image_id", "detection_index"], lambda regions, keys: rounded(
+        gen.geometric_windows(regions).select(*keys, "kind", "score", "x1", "y1", "x2", "y2"), *keys))
 
 
 def _frames(spark, folder):
