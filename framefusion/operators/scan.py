@@ -22,7 +22,8 @@ class Scan(Protocol):
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], factory: Callable[[tuple], Scan],
-                 schema: T.StructType | str) -> DataFrame:
+                 schema: T.StructType | str, dealt: bool = False) -> DataFrame:
+    """`dealt` says that the rows of a key are in one partition already."""
     keys = list(keys)
     spark = df.sparkSession
     out_schema = schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
@@ -50,5 +51,5 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
             if rest:
                 yield pd.DataFrame(rest, columns=columns)
 
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    ordered = (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order)
     return ordered.mapInPandas(run, out_schema)
