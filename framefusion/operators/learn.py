@@ -14,6 +14,7 @@ from framefusion.functions import text as tx
 from framefusion.functions.linear import LinearModel, linear_score
 from framefusion.operators.measures import evaluation_columns, ratio
 from framefusion.operators.skew import running_total, top_rows
+from framefusion.session import store_step
 
 INF = float("inf")
 # Fixed value: columns that describe a row and never become features.
@@ -216,12 +217,13 @@ def train_pairwise(rows: DataFrame, features: Sequence[str], l2: float, k: int =
 def provider_oof(rows: DataFrame, features: Sequence[str], l2: float, providers: Sequence[str] | None = None,
                  label: str = "label_train") -> DataFrame:
     """Each provider's rows scored by a model trained on the others. The provider list is short; one fit each, and
-    all scores are one expression, so the rows are read once for scoring."""
+    all scores are one expression, so the rows are read once for scoring. What the fits read is made once and stored."""
+    known = store_step(rows.select(*dict.fromkeys(["image_id", "provider", label, *features])))
     if providers is None:
-        providers = sorted(r[0] for r in rows.select("provider").where("provider IS NOT NULL").distinct().collect())
+        providers = sorted(r[0] for r in known.select("provider").where("provider IS NOT NULL").distinct().collect())
     score: Column = F.lit(None).cast("double")
     for provider in providers:
-        model = train_pointwise(rows.where(F.col("provider") != provider), features, l2, label)
+        model = train_pointwise(known.where(F.col("provider") != provider), features, l2, label)
         score = F.when(F.col("provider") == provider, linear_score(rows, model)).otherwise(score)
     return rows.withColumn("oof_score", score)
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from framefusion.functions.linear import linear_score
 from framefusion.functions import text as tx
 from framefusion.functions.linear import LinearModel
 from framefusion.operators import box_sets as bs
@@ -118,3 +119,21 @@ def test_pairwise_model_ranks_the_positive_first(spark):
                                  "image_id int, candidate_index int, label_train int, a double, ocr_conf double, candidate_digit_len double")
     assert learn.train_pairwise(rows, ["a"], 0.01).weights[0] > 0
     assert learn.train_pointwise(rows, ["a"], 0.01).weights[0] > 0
+
+
+def test_rows_are_made_twice_for_any_number_of_providers(spark):
+    """Once for all fits and once for the scores."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, p, float(i % 4), i % 2) for i, p in enumerate("abc" * 8)],
+                                 "image_id int, provider string, a double, label_train int")
+    scored = learn.provider_oof(rows.mapInArrow(count, rows.schema), ["a"], 0.01).collect()
+    assert made.value == 2 * 24 and all(r.oof_score is not None for r in scored)
+    alone = learn.train_pointwise(rows.where("provider <> 'b'"), ["a"], 0.01)
+    expected = {r.image_id: r.s for r in rows.select("image_id", linear_score(rows, alone).alias("s")).collect()}
+    assert all(abs(r.oof_score - expected[r.image_id]) < 1e-6 for r in scored if r.provider == "b")
