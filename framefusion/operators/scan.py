@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from typing import Any, Callable, Iterable, Protocol, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
@@ -53,3 +56,32 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
 
     ordered = (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order)
     return ordered.mapInPandas(run, out_schema)
+
+
+def group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Places in a sorted table where a new key begins; nulls are one key."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        column = table[k]
+        a, b = column.slice(0, len(column) - 1), column.slice(1)
+        apart = pc.fill_null(pc.not_equal(a, b), False)
+        new[1:] |= pc.or_(apart, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]):
+    """Tables of whole keys with the places where each begins, from batches sorted by key. It holds a batch and the rows of one key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        begin = group_starts(table, keys)
+        last = int(begin[-1])
+        if last:
+            yield table.slice(0, last), begin[:-1]
+        held = table.slice(last).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.zeros(1, np.int64)
