@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framefusion.operators.skew import best_row
+from framefusion.session import store_step
 
 RGB = ("r", "g", "b")
+PIECES = 64
+"""Places that the pixels of one key are dealt to in a join by shuffle."""
 
 
 def explode_image(images: DataFrame, key: str, frame: str) -> DataFrame:
@@ -104,8 +107,12 @@ def _away(channels: Sequence[str], colour: Sequence[Column]) -> Column:
 
 def colour_mask(pixels: DataFrame, colours: DataFrame, keys: Sequence[str], tolerance: float | None = None, margin: float = 1.0,
                 channels: Sequence[str] = RGB) -> DataFrame:
-    """Keep pixels nearer to the font colour (font_*) than to the background (back_*), or within a tolerance of it."""
-    rows = pixels.join(colours, list(keys))
+    """Keep pixels nearer to the font colour (font_*) than to the background (back_*), or within a tolerance of it.
+
+    The colours are stored, so that Spark knows their size and ships a small table to the pixels. Where it joins by shuffle instead, the
+    pixels of a key go to PIECES places, and the colours to each of them."""
+    colours = store_step(colours).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    rows = pixels.withColumn("_piece", F.pmod(F.hash("frame", "x", "y"), F.lit(PIECES))).join(colours, [*keys, "_piece"])
     font = _away(channels, [F.col(f"font_{c}") for c in channels])
     if tolerance is not None:
         return rows.where(font <= tolerance).select(*pixels.columns)
