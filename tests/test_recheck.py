@@ -42,3 +42,9 @@ def test_carried_columns_stand_on_the_marker_alone(spark):
     rows = tr.observations(frames, seen, read).orderBy("obs_order").collect()
     assert len(rows) == 6 and {(r.sequence_id, r.frame_index, r.image_width) for r in rows} == {(9, 1, 200)}
     assert [r.carried for r in rows] == ["pixels"] + [None] * 5
+
+
+def test_history_recheck_stores_its_locks(spark, folder):
+    from framefusion.plans.temporal import history_recheck
+    plan = history_recheck(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "before_x1" in plan and "before_state" not in plan
