@@ -150,6 +150,23 @@ def _records(columns: dict[str, pa.Array | pa.ChunkedArray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, list(columns))
 
 
+def window_values(table: pa.Table, begin: np.ndarray, n: int, rule: Callable[[], Callable[..., int]], out: Sequence[str]) -> pa.RecordBatch:
+    """The value of the last frame of every window of `n` frames: rows of whole windows, `window` is the number of the last frame. A window
+    without readings in that frame gives nothing and is left out."""
+    frame, window = _numbers(table["frame_index"]), _numbers(table["window"])
+    ends = np.append(begin[1:], table.num_rows)
+    use = np.flatnonzero(frame[ends - 1] == window[begin])
+    size = (ends - begin)[use]
+    start = np.cumsum(size) - size
+    rows = np.repeat(begin[use] - start, size) + np.arange(size.sum())
+    own = window[begin[use]]
+    at, key, lead = FieldBlock(table.take(pa.array(rows)).combine_chunks(), start, np.minimum(own, n), rule).values()
+    last = frame[rows[at]] == own[key]
+    found = table.take(pa.array(rows[at[last]]))
+    origin = pa.array(np.where(lead[last], "primary", "dual"), pa.string())
+    return _records({**{c: found[c] for c in out}, "origin": origin})
+
+
 def locked_values(table: pa.Table, begin: np.ndarray, warmup: int, pos_thr: float, rule: Callable[[], Callable[..., int]]) -> pa.RecordBatch:
     """The rows of `slots.warmup_lock` for whole sequences: what the primary slot of the first frames reads (of all frames, where that finds
     none), as rank 1, and the most confident channel value near its place in every frame, as rank 0."""
