@@ -1,6 +1,8 @@
 """What the steps of sequence queries leave on disk."""
 
+from framefusion.operators import generate as gen
 from framefusion.operators import tracking as tr
+from framefusion.plans import fixtures as fx
 from framefusion.plans import load
 
 
@@ -21,3 +23,20 @@ def test_run_sequences_stores_little(spark, folder, monkeypatch):
     assert out.count() == out.select("image_id").distinct().count() > 0
     names = set(out.columns)
     assert {"candidate_index", "digits", "rule_score", "lockable", "reject_reason"} <= names and "history_track" not in names
+
+
+def test_search_regions_are_chosen_in_one_pass(spark, folder, monkeypatch):
+    """The regions of two choices one after the other, for ordinary and for crowded frames."""
+    def regions():
+        frames, boxes, read = fx.frames(spark, folder), fx.detections(spark, folder), fx.candidates(spark, folder)
+        return gen.search_regions(frames, boxes, read, slot_bands=True)
+
+    once = regions()
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == plan.count("MapInArrow") == 1
+    rows = sorted(map(tuple, once.collect()))
+    monkeypatch.setattr(gen, "CROWD", 3)
+    some = sorted(map(tuple, regions().collect()))
+    monkeypatch.setattr(gen, "CROWD", 0)
+    assert rows == some == sorted(map(tuple, regions().collect())) and rows
+    assert once.columns == ["image_id", "image_width", "image_height", "stage", "arrival", "x1", "y1", "x2", "y2"]
