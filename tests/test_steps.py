@@ -1,9 +1,10 @@
 """What the steps of sequence queries leave on disk."""
 
 from framefusion.operators import generate as gen
+from framefusion.operators import groups as gr
 from framefusion.operators import tracking as tr
 from framefusion.plans import fixtures as fx
-from framefusion.plans import load
+from framefusion.plans import grouping, load
 
 
 def test_run_sequences_stores_little(spark, folder, monkeypatch):
@@ -40,3 +41,15 @@ def test_search_regions_are_chosen_in_one_pass(spark, folder, monkeypatch):
     monkeypatch.setattr(gen, "CROWD", 0)
     assert rows == some == sorted(map(tuple, regions().collect())) and rows
     assert once.columns == ["image_id", "image_width", "image_height", "stage", "arrival", "x1", "y1", "x2", "y2"]
+
+
+def test_order_by_value_group_makes_its_rows_once(spark, folder, monkeypatch):
+    """Groups and members read the stored feature rows."""
+    kept, store = [], grouping.store_step
+    monkeypatch.setattr(grouping, "store_step", lambda df: kept.append(df) or store(df))
+    out = grouping.order_by_value_group(spark, folder)
+    assert len(kept) == 1 and "lineitem" not in " ".join(out.inputFiles())
+    rows = grouping.feature_rows(spark, folder)
+    groups = grouping.scored_groups(spark, folder)
+    want = gr.order_by_value_group(rows.select(*grouping.KEY, "candidate_digits", "base_score"), groups).select(*out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
